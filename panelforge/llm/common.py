@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time; one longer text is handled alone.
 CHUNK_BYTES = 4 << 20
-#: Rows in an Arrow batch: bounds a worker's memory where texts are long.
-ARROW_ROWS = 1024
+#: Bytes in an Arrow batch: bounds a worker's memory where texts are long.
+ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches, set a checkpoint folder if none is, ship this code if workers lack it."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_columns, media, packing
+from . import bpe_columns, media, packing, simhash, token_counts
 from .common import table
 
 #: Places of the public vocabularies; another folder is another parameter.
@@ -24,12 +25,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_columns.round_trip(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
+def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Plan())
+    return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
+
+
+def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), BYTE_JSON)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_ogg, op2_byte_bpe, op6_best_fit_packing)}
+    return {f.__name__: f for f in (op1_media_ogg, op2_byte_bpe, op4_simhash_anchors, op5_prefix_token_counts, op6_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
