@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_columns, media, packing, repeats, simhash, token_counts
+from . import bpe_columns, media, packing, quality, repeats, simhash, token_counts
 from .common import table
 
 #: Places of the public vocabularies; another folder is another parameter.
@@ -38,12 +38,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), BYTE_JSON)
 
 
+def op8_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_ogg, op2_byte_bpe, op4_simhash_anchors, op5_prefix_token_counts, op6_best_fit_packing, op9_fm_index_repeats)}
+    return {f.__name__: f for f in (op1_media_ogg, op2_byte_bpe, op4_simhash_anchors, op5_prefix_token_counts, op6_best_fit_packing, op8_quality_nbsvm, op9_fm_index_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
