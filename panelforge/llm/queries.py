@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_columns, media, packing, quality, repeats, simhash, token_counts
+from . import ann, bpe_columns, media, packing, quality, repeats, simhash, token_counts
 from .common import table
 
 #: Places of the public vocabularies; another folder is another parameter.
@@ -25,6 +25,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_columns.round_trip(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Plan())
     return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
@@ -48,7 +52,7 @@ def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_ogg, op2_byte_bpe, op4_simhash_anchors, op5_prefix_token_counts, op6_best_fit_packing, op8_quality_nbsvm, op9_fm_index_repeats)}
+    return {f.__name__: f for f in (op1_media_ogg, op2_byte_bpe, op3_rp_forest, op4_simhash_anchors, op5_prefix_token_counts, op6_best_fit_packing, op8_quality_nbsvm, op9_fm_index_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
