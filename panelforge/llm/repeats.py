@@ -290,7 +290,8 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
     """Runs the shards and applies ``finish(chunk, nulls, removed)`` to every chunk."""
     prepare(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = pack_chunks(texts_of(docs, id_col, text_col)).checkpoint()
+    # One shuffle of the chunks serves both readers below. Chunks are numbered by scan task, so a lost one is cut alike again.
+    packed = pack_chunks(texts_of(docs, id_col, text_col)).repartition(parts, "chunk")
 
     def send(batches):
         for b in batches:
@@ -302,51 +303,52 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
                 many = np.bincount(c.code, minlength=len(c.windows)) > 1
                 small = np.full(len(c.windows), _NO_DOC)
                 np.minimum.at(small, c.code, ids[c.doc])
-                target = (c.minimizer >> np.uint64(20)) % np.uint64(parts)
+                target = (c.minimizer & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                brief = (c.minimizer >> np.uint64(32)).astype(np.uint32)  # tells minimizers of a shard apart but for a few
                 order = np.argsort(target, kind="stable")
                 bounds = np.searchsorted(target[order], np.arange(parts + 1, dtype=np.uint64))
                 a, z = c.at[c.origin], c.at[c.origin + c.windows + span - 1]
-                rows = []
                 for t in np.flatnonzero(np.diff(bounds)).tolist():
                     k = order[bounds[t] : bounds[t + 1]]
                     text = b"".join([c.text[x:y] for x, y in zip(a[k].tolist(), z[k].tolist(), strict=True)])
-                    rows.append((t, number, pack(k.astype(np.int32), c.minimizer[k], small[k], many[k], c.windows[k].astype(np.int8), (z - a)[k], text)))
-                for j in range(0, len(rows), 64):
-                    some = list(zip(*rows[j : j + 64], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary())], ["target", "chunk", "blob"])
+                    blob = pack(np.diff(k, prepend=0).astype(np.int32), brief[k], np.diff(small[k], prepend=0), many[k], c.windows[k].astype(np.int8), text, level=6)
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["target", "chunk", "blob"])
 
     def search(batches):
         for _, rows in _groups(batches, 0):
-            parts_of = [unpack(r["blob"], np.int32, np.uint64, np.int64, np.bool_, np.int8, np.int64, None) for r in rows]
-            number, minimizer, doc, many, windows, size = (np.concatenate([p[k] for p in parts_of]) for k in range(6))
+            parts_of = [unpack(r["blob"], np.int32, np.uint32, np.int64, np.bool_, np.int8, None) for r in rows]
+            number, doc = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts_of]) for k in (0, 2))
+            minimizer, many, windows = (np.concatenate([p[k] for p in parts_of]) for k in (1, 3, 4))
             texts: list[bytes] = []
             for p in parts_of:
-                at = offsets(p[5]).tolist()
-                texts += [p[6][x:y] for x, y in zip(at, at[1:], strict=False)]
+                blanks = np.flatnonzero(np.frombuffer(p[5], np.uint8) == 0x20) + 1
+                at = [0, *blanks[np.cumsum(p[4].astype(np.int64) + (span - 1)) - 1].tolist()]
+                texts += [p[5][x:y] for x, y in zip(at, at[1:], strict=False)]
             bounds = offsets(np.array([len(p[0]) for p in parts_of]))
-            chunk_of = np.array([r["chunk"] for r in rows])
+            chunk_of = [r["chunk"] for r in rows]
             del parts_of, rows
             told, count, small = shard_windows(minimizer, doc, many, windows.astype(np.int64), texts, span)
             cuts = np.searchsorted(told, bounds)
             at = offsets(count)
             for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if x < y:
-                    blob = pack(number[told[x:y]], count[x:y].astype(np.int8), small[at[x] : at[y]])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(chunk_of[k])], pa.int64()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "kind", "blob"])
+                    blob = pack(number[told[x:y]].astype(np.int32), count[x:y].astype(np.int8), small[at[x] : at[y]], level=3)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk_of[k]], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "reply"])
 
     def apply(batches):
-        for _, rows in _groups(batches, 0):
-            ids, null, texts = open_chunk(rows[0]["blob"])
-            c = cut(ids, texts, span, seed)
-            yield from finish(c, null.astype(bool), texts, removed_words(c, [r["blob"] for r in rows[1:]], span))
+        for b in batches:
+            for blob, replies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, null, texts = open_chunk(blob)
+                c = cut(ids, texts, span, seed)
+                yield from finish(c, null.astype(bool), texts, removed_words(c, replies or [], span))
 
     sent = packed.mapInArrow(send, "target int, chunk long, blob binary")
-    replies = sent.repartitionById(parts, F.col("target")).sortWithinPartitions("target").mapInArrow(search, "chunk long, kind int, blob binary")
-    both = packed.select("chunk", F.lit(0).alias("kind"), "blob").unionByName(replies)
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(apply, schema)
+    replies = sent.repartitionById(parts, F.col("target")).sortWithinPartitions("target").mapInArrow(search, "chunk long, reply binary")
+    # A chunk's replies are bounded by its size.
+    return packed.join(replies.groupBy("chunk").agg(F.collect_list("reply").alias("replies")), "chunk", "left").select("blob", "replies").mapInArrow(apply, schema)
 
 
-def remove_repeats(docs: DataFrame, span: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 13, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every document without the words that smaller documents' windows cover.
 
     A window is ``span`` words in a row of one document; its words go if the same words in a row also start in a
@@ -363,7 +365,7 @@ def remove_repeats(docs: DataFrame, span: int = 13, seed: int = 5, id_col: str =
     return _answers(docs, span, seed, id_col, text_col, finish, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def repeat_digests(docs: DataFrame, span: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_digests(docs: DataFrame, span: int = 13, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): as ``remove_repeats``, with a digest in place of the kept words."""
 
     def finish(c: Chunk, null: np.ndarray, texts: list[bytes], removed: np.ndarray):
