@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_columns, media, packing, quality, repeats, simhash, token_counts
+from . import ann, bpe_columns, licenses, media, packing, quality, repeats, simhash, token_counts, url_filter
 from .common import table
 
 #: Places of the public vocabularies; another folder is another parameter.
@@ -42,6 +42,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), BYTE_JSON)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,9 +55,15 @@ def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.temporal_filter(url_filter.sample_captures(pages), url_filter.sample_entries(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_ogg, op2_byte_bpe, op3_rp_forest, op4_simhash_anchors, op5_prefix_token_counts, op6_best_fit_packing, op8_quality_nbsvm, op9_fm_index_repeats)}
+    own = (op1_media_ogg, op2_byte_bpe, op3_rp_forest, op4_simhash_anchors, op5_prefix_token_counts, op6_best_fit_packing, op7_license_scan, op8_quality_nbsvm, op9_fm_index_repeats, op10_temporal_url_filter)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_temporal_url_filter": url_filter.ORACLE_SQL}

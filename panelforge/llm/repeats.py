@@ -18,12 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, offsets, prepare, ragged, spread, texts_of
+from .common import offsets, prepare, ragged, spread, texts_of
 from .fm_index import FMIndex
 from .slices import factorize
 
@@ -159,39 +160,45 @@ def cut(ids: np.ndarray, texts: list[bytes], span: int, seed: int) -> Chunk:
     return Chunk(ids, text, at, first, code, start, doc[start], count[origin], start[origin], least[start[origin]])
 
 
-def pack_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, lengths, texts): documents in compressed chunks of at most CHUNK bytes, or of one longer text."""
+def pack_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, blob): rows in compressed chunks of about CHUNK bytes of text, or of one longer text."""
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
-        ids: list = []
-        texts: list[bytes] = []
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def row() -> pa.RecordBatch:
-            known = np.array([_NO_DOC if k is None else k for k in ids], np.int64)
-            blob = pack(known, np.array([k is None for k in ids], np.int8), np.array([len(t) for t in texts], np.int64), b"".join(texts), level=3)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for h in held:
+                    out.write_batch(h)
+            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
-        for some, own in chunks(batches, CHUNK):
-            more = sum(map(len, own))
-            if ids and size + more > CHUNK:
-                yield row()
-                ids, texts, size, number = [], [], 0, number + 1
-            ids += some
-            texts += own
-            size += more
-        if ids:
+        for b in batches:
+            lengths = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text_col))), 0).to_numpy()
+            at = 0
+            for k, n in enumerate(lengths.tolist()):
+                if size and size + n > CHUNK:
+                    if k > at:
+                        held.append(b.slice(at, k - at))
+                    yield row()
+                    held, size, number, at = [], 0, number + 1, k
+                size += n
+            if at < b.num_rows:
+                held.append(b.slice(at))
+        if held:
             yield row()
 
     return spread(docs).mapInArrow(run, "chunk long, blob binary")
 
 
-def open_chunk(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(ids, whether each is null, texts)."""
-    ids, null, lengths, text = unpack(blob, np.int64, np.int8, np.int64, None)
-    at = offsets(lengths).tolist()
-    return ids, null, [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+def open_chunk(blob: bytes, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, list[bytes]]:
+    """(rows, ids, texts); a null id counts as larger than all others, a null text is empty."""
+    rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+    ids = pc.fill_null(rows[id_col].cast(pa.int64()), _NO_DOC).to_numpy()
+    return rows, ids, [t or b"" for t in rows[text_col].cast(pa.binary()).to_pylist()]
 
 
 def shard_windows(minimizer: np.ndarray, doc: np.ndarray, many: np.ndarray, windows: np.ndarray, texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,17 +293,17 @@ def kept_texts(chunk: Chunk, removed: np.ndarray) -> list[bytes]:
     return [text[a : max(a, b - 1)] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
-    """Runs the shards and applies ``finish(chunk, nulls, removed)`` to every chunk."""
+def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str, finish, schema) -> DataFrame:
+    """Runs the shards and applies ``finish(rows, chunk, texts, removed)`` to every chunk."""
     prepare(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One shuffle of the chunks serves both readers below. Chunks are numbered by scan task, so a lost one is cut alike again.
-    packed = pack_chunks(texts_of(docs, id_col, text_col)).repartition(parts, "chunk")
+    packed = pack_chunks(docs, id_col, text_col).repartition(parts, "chunk")
 
     def send(batches):
         for b in batches:
             for number, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, _, texts = open_chunk(blob)
+                _, ids, texts = open_chunk(blob, id_col, text_col)
                 c = cut(ids, texts, span, seed)
                 if not len(c.windows):
                     continue
@@ -338,9 +345,9 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
     def apply(batches):
         for b in batches:
             for blob, replies in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, null, texts = open_chunk(blob)
+                rows, ids, texts = open_chunk(blob, id_col, text_col)
                 c = cut(ids, texts, span, seed)
-                yield from finish(c, null.astype(bool), texts, removed_words(c, replies or [], span))
+                yield from finish(rows, c, texts, removed_words(c, replies or [], span))
 
     sent = packed.mapInArrow(send, "target int, chunk long, blob binary")
     replies = sent.repartitionById(parts, F.col("target")).sortWithinPartitions("target").mapInArrow(search, "chunk long, reply binary")
@@ -348,6 +355,10 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
     return packed.join(replies.groupBy("chunk").agg(F.collect_list("reply").alias("replies")), "chunk", "left").select("blob", "replies").mapInArrow(apply, schema)
 
 
+def _counts(c: Chunk, removed: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    return pa.array(np.diff(c.first)), pa.array(np.diff(offsets(removed)[c.first]))
+
+
 def remove_repeats(docs: DataFrame, span: int = 13, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every document without the words that smaller documents' windows cover.
 
@@ -357,20 +368,39 @@ def remove_repeats(docs: DataFrame, span: int = 13, seed: int = 4, id_col: str =
     id are one document, so none of them is smaller. ``kept`` holds the kept words, joined by one blank.
     """
 
-    def finish(c: Chunk, null: np.ndarray, texts: list[bytes], removed: np.ndarray):
-        gone = offsets(removed)[c.first]
-        kept = kept_texts(c, removed)
-        yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=null), pa.array(np.diff(c.first)), pa.array(np.diff(gone)), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+    def finish(rows: pa.Table, c: Chunk, texts: list[bytes], removed: np.ndarray):
+        yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *_counts(c, removed), pa.array(kept_texts(c, removed), pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return _answers(docs, span, seed, id_col, text_col, finish, "doc_id long, n_words long, n_removed long, kept binary")
+    return _answers(texts_of(docs, id_col, text_col), span, seed, "doc_id", "text", finish, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def repeat_digests(docs: DataFrame, span: int = 13, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): as ``remove_repeats``, with a digest in place of the kept words."""
 
-    def finish(c: Chunk, null: np.ndarray, texts: list[bytes], removed: np.ndarray):
-        gone = offsets(removed)[c.first]
+    def finish(rows: pa.Table, c: Chunk, texts: list[bytes], removed: np.ndarray):
         digests = [hashlib.sha256(t).hexdigest() for t in kept_texts(c, removed)]
-        yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=null), pa.array(np.diff(c.first)), pa.array(np.diff(gone)), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *_counts(c, removed), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return _answers(texts_of(docs, id_col, text_col), span, seed, "doc_id", "text", finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_words(text: bytes, removed: np.ndarray) -> bytes:
+    """The text without the removed words and the blanks behind each; all else is as it was."""
+    starts, _ = word_spans(text)
+    edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0))
+    bounds = np.append(starts, len(text))[edges].tolist()
+    return b"".join(text[a:b] for a, b in zip([0, *bounds[1::2]], [*bounds[::2], len(text)], strict=True))
+
+
+def drop_repeats(docs: DataFrame, span: int = 50, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, where repeated windows are cut out of the texts; untouched texts stay as they are."""
+
+    def finish(rows: pa.Table, c: Chunk, texts: list[bytes], removed: np.ndarray):
+        gone = offsets(removed)[c.first]
+        column = rows[text_col].to_pylist()
+        for k in np.flatnonzero(np.diff(gone)).tolist():
+            column[k] = without_words(texts[k], removed[c.first[k] : c.first[k + 1]]).decode("utf-8", "replace")
+        place = rows.schema.get_field_index(text_col)
+        yield from rows.set_column(place, rows.schema.field(place), pa.array(column, rows.schema.field(place).type)).combine_chunks().to_batches()
 
-    return _answers(docs, span, seed, id_col, text_col, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _answers(docs, span, seed, id_col, text_col, finish, docs.schema)
