@@ -45,11 +45,11 @@ class Plan:
     reach: int = 2
 
 
-def near_plan(shingle: int = 5, words: int = 6, distance: int = 68, tables: int = 25, seed: int = 11) -> Plan:
+def near_plan(shingle: int = 5, words: int = 10, distance: int = 106, tables: int = 25, seed: int = 11) -> Plan:
     """Links at a shingle similarity of about 0.8 or more.
 
     Sets of similarity J make vectors with cosine 2J/(1+J), and a bit differs with probability
-    arccos(cosine)/pi: 0.151 at J = 0.8, so 58 of 384 bits on average, with a deviation of 7. Each table
+    arccos(cosine)/pi: 0.151 at J = 0.8, so 97 of 640 bits on average, with a deviation of 9. Each table
     has 23 bits of its own choice and one home for each fingerprint; a pair at J = 0.8 shares the home
     of at least one table in 96 of 100 cases, at J = 0.9 in more than 99.
     """
@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     """
     prepare(docs.sparkSession)
     prints = fingerprint_column(docs, plan, id_col, text_col).checkpoint()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("rep"))
 
     def replicate(batches):
@@ -271,9 +272,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
         if held and (whole := pa.concat_tables(held)).num_rows > 1:
             yield found(whole)
 
-    spark = docs.sparkSession
-    dealt = classes.where("rep is not null").select("print", "rep").mapInArrow(replicate, "anchor long, home boolean, rep long, print binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A class is a few bytes and becomes dozens of rows: deal classes out before that.
+    dealt = classes.where("rep is not null").select("print", "rep").repartition(parts).mapInArrow(replicate, "anchor long, home boolean, rep long, print binary")
     edges = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
     found = components(edges)
     known = classes.join(found, classes.rep == found.node, "left").select("print", F.coalesce("component", "rep").alias("component_id"))
