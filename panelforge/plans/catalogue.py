@@ -373,7 +373,7 @@ _FACTORS = ", ".join(f"('{k}', {m}, {float(f)!r})" for k, v in gen.SEASONALITY.i
 
 
 @_query(
-    "SELECT o_orderkey, f.factor AS seasonal_factor FROM (SELECT o_orderkey, month(o_orderdate) AS m, ['G47', 'C10', 'C29', 'H49', 'I55', 'I56', 'X'][1 + o_orderkey % 7] AS code FROM orders) AS o "
+    "SELECT o_orderkey, CAST(f.factor AS DOUBLE) AS seasonal_factor FROM (SELECT o_orderkey, month(o_orderdate) AS m, ['G47', 'C10', 'C29', 'H49', 'I55', 'I56', 'X'][1 + o_orderkey % 7] AS code FROM orders) AS o "
     f"LEFT JOIN (VALUES {_FACTORS}) AS f(code, m, factor) ON f.code = o.code AND f.m = o.m"
 )
 def seasonal_factor_lookup(spark, d):
