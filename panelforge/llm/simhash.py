@@ -213,6 +213,25 @@ def _compare(anchor: np.ndarray, home: np.ndarray, prints: np.ndarray, distance:
     return np.concatenate(left), np.concatenate(right)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links (a, b) connect: one from each id but the smallest of a group to the smallest."""
+    ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = codes[: len(a)], codes[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[left], label[right])
+        fresh = label.copy()
+        for side in (left, right):
+            np.minimum.at(fresh, label[side], low)
+            np.minimum.at(fresh, side, low)
+        fresh = fresh[fresh]
+        if (fresh == label).all():
+            break
+        label = fresh
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[own], ids[label[own]]
+
+
 def fingerprint_column(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, print): the fingerprint of each whole text as bytes, the highest first. No words (null, empty): zero."""
     prepare(docs.sparkSession)
@@ -254,8 +273,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
         def found(t: pa.Table) -> pa.RecordBatch:
             rep = t["rep"].to_numpy()
             a, b = _compare(t["anchor"].to_numpy(), t["home"].to_numpy(), _matrix(t["print"].combine_chunks()), plan.distance)
-            pairs = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, stars(rep[a], rep[b]))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
