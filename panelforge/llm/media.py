@@ -75,7 +75,7 @@ def write_ogg(payload: bytes, serial: int = 1, rate: int = RATE, packet: int = P
     head = (SAMPLE_MAGIC + struct.pack("<IB", rate, 8), 0)
     sound = pages_of([head, *((payload[k : k + packet], min(k + packet, len(payload))) for k in range(0, len(payload), packet))], serial)
     note = pages_of([(NOTE_MAGIC + struct.pack("<Q", len(payload)), 0), (b"samples", len(payload))], serial + 1)
-    return b"".join([sound[0], note[0], *sound[1:-1], note[1], *sound[-1:]])
+    return b"".join([sound[0], note[0], *sound[1:-1], note[1], *sound[1:][-1:]])
 
 
 @dataclass

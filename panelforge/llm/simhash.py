@@ -58,33 +58,35 @@ def near_plan(shingle: int = 5, words: int = 10, distance: int = 106, tables: in
 
 
 @functools.cache
-def _code() -> tuple[np.ndarray, np.ndarray]:
-    """The home (high 12 bits of its anchor) of every word of 23 bits; its syndrome."""
-    words = np.arange(1 << BITS, dtype=np.int32)
-    syndrome = words.copy()
+def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Syndromes of the low 12 bits and of the high 11 bits of a word; the error of each syndrome."""
+    words = np.append(np.arange(1 << 12), np.arange(1 << 11) << 12)
     for b in range(BITS - 1, 10, -1):
-        syndrome ^= ((syndrome >> b) & 1) * np.int32(_GENERATOR << (b - 11))
-    leader = np.zeros(2048, np.int32)
+        words ^= ((words >> b) & 1) * (_GENERATOR << (b - 11))
+    low, high = words[: 1 << 12], words[1 << 12 :]
+    leader = np.zeros(2048, np.int64)
     for weight in range(RADIUS + 1):
         for bits in itertools.combinations(range(BITS), weight):
             error = sum(1 << b for b in bits)
-            leader[syndrome[error]] = error
-    return ((words ^ leader[syndrome]) >> 11).astype(np.uint16), syndrome.astype(np.uint16)
+            leader[low[error & 0xFFF] ^ high[error >> 12]] = error
+    return low, high, leader
+
+
+def nearest_anchor(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The home (high 12 bits of its anchor) and the syndrome of words of 23 bits."""
+    low, high, leader = _code()
+    syndrome = low[words & 0xFFF] ^ high[words >> 12]
+    return (words ^ leader[syndrome]) >> 11, syndrome
 
 
 @functools.cache
 def _reachable(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each syndrome, the homes (to be XORed with the own one) that changing up to ``reach`` bits leads to and how many it takes: starts, homes, bits."""
-    home, syndrome = _code()
-    leader = np.zeros(2048, np.int64)
-    for weight in range(RADIUS + 1):
-        for bits in itertools.combinations(range(BITS), weight):
-            error = sum(1 << b for b in bits)
-            leader[syndrome[error]] = error
+    leader = _code()[2]
     best = np.full((2048, 4096), 99, np.int8)
     for weight in range(reach, -1, -1):
         for bits in itertools.combinations(range(BITS), weight):
-            best[np.arange(2048), home[leader ^ sum(1 << b for b in bits)]] = weight
+            best[np.arange(2048), nearest_anchor(leader ^ sum(1 << b for b in bits))[0]] = weight
     rows, homes = np.nonzero(best <= reach)
     return np.searchsorted(rows, np.arange(2049)), homes.astype(np.int64), best[rows, homes]
 
@@ -136,7 +138,6 @@ def fingerprints(texts: list[bytes], shingle: int, words: int = 1, seed: int = 4
 
 def anchors(prints: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, home): the anchors that each fingerprint goes to; home marks its nearest one. An anchor's number holds its table."""
-    home, syndrome = _code()
     starts, near, cost = _reachable(plan.reach)
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
     rows, ids, own = [], [], []
@@ -144,12 +145,12 @@ def anchors(prints: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.
         row, key, left, at_home = np.arange(len(prints)), np.full(len(prints), number, np.int64), np.full(len(prints), plan.reach), np.ones(len(prints), bool)
         for block in table:
             word = bits[:, list(block)].astype(np.int64) @ (1 << np.arange(BITS))
-            s = syndrome[word].astype(np.int64)
+            home, s = nearest_anchor(word)
             sizes = (starts[s + 1] - starts[s])[row]
             at = np.arange(int(sizes.sum())) - np.repeat(offsets(sizes)[:-1] - starts[s][row], sizes)
             row, key, left, at_home = (np.repeat(x, sizes) for x in (row, key, left, at_home))
             left = left - cost[at]
-            key = key << 12 | (home[word].astype(np.int64)[row] ^ near[at])
+            key = key << 12 | (home[row] ^ near[at])
             stay = left >= 0
             at_home = at_home & (cost[at] == 0)
             row, key, left, at_home = row[stay], key[stay], left[stay], at_home[stay]
@@ -299,6 +300,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of its group, with all their columns."""
-    stays = near_duplicates(docs, plan, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stays, id_col, "left_semi")
+    """The rows whose id is the smallest of its group, with all their columns.
+
+    Rows without an id stay. Rows that repeat an id stay or go together; they stay if one of them is smallest.
+    """
+    found = near_duplicates(docs, plan, id_col, text_col).where("doc_id is not null")
+    going = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0")
+    return docs.join(going.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
