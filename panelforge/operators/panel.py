@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from panelforge.functions.missing import ieee_divide, present
+from panelforge.functions.missing import half_even, ieee_divide, present
+from panelforge.operators.clean import interpolated
 
 
 def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,9 +22,10 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on, "left").drop(*(f"_right_{k}" for k in keys))
 
 
-def month_grid(firms: DataFrame, first: str, last: str, key: str = "firm_id") -> DataFrame:
-    """(firm, month) for every firm and month; made within rows, without a join."""
-    return firms.select(key).distinct().withColumn("month", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))))
+def month_grid(firms: DataFrame, first: str, last: str, key: str = "firm_id", unique: bool = False) -> DataFrame:
+    """(firm, month) for every firm and month; made within rows, without a join. ``unique``: no firm occurs twice."""
+    keys = firms.select(key)
+    return (keys if unique else keys.distinct()).withColumn("month", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))))
 
 
 def build_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame) -> DataFrame:
@@ -54,6 +56,32 @@ def derive_indicators(panel: DataFrame) -> DataFrame:
     return lags.withColumns(made).drop("_t12", "_e1", "_mean")
 
 
+def fused_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame) -> DataFrame:
+    """Imputation, both joins and all indicators, with one exchange by firm.
+
+    Rows of the three tables are put under each other, dealt by firm, and merged by month; the register's row
+    reaches its firm's rows as a window aggregate. Gives what cleaning, ``build_panel`` and ``derive_indicators``
+    give one after the other, provided that no table repeats a key (which ``validate.unique_keys`` checks).
+    """
+    rest = [c for c in employment.columns if c not in ("firm_id", "month", "employees", "nace_code", "region_code", "month_num")]
+    kept = [c for c in register.columns if c != "firm_id"]
+    none = lambda t: F.lit(None).cast(t)
+    own = F.struct(F.lit(1).alias("_"), *rest)
+    entry = F.struct(*kept)
+    own_type, entry_type = employment.select(own.alias("x")).schema[0].dataType, register.select(entry.alias("x")).schema[0].dataType
+    day = F.col("month").cast("date").alias("month")
+    e = employment.select("firm_id", day, F.col("employees").cast("double").alias("e"), none("double").alias("t"), own.alias("own"), F.lit(False).alias("in_t"), none(entry_type).alias("entry"))
+    t = turnover.select("firm_id", day, none("double").alias("e"), F.col("turnover").cast("double").alias("t"), none(own_type).alias("own"), F.lit(True).alias("in_t"), none(entry_type).alias("entry"))
+    r = register.select("firm_id", none("date").alias("month"), none("double").alias("e"), none("double").alias("t"), none(own_type).alias("own"), F.lit(False).alias("in_t"), entry.alias("entry"))
+    merged = e.unionByName(t).unionByName(r).repartition("firm_id").groupBy("firm_id", "month").agg(*(F.max(c).alias(c) for c in ("e", "t", "own", "in_t", "entry")))
+    e_filled = F.when(present("e").isNull(), half_even(interpolated("e"))).otherwise(F.col("e"))
+    t_filled = F.when(F.col("in_t"), interpolated("t"))  # without a row in the table there is nothing to fill
+    firm = Window.partitionBy("firm_id")
+    filled = merged.select("firm_id", "month", "own", e_filled.alias("employees_monthly"), t_filled.alias("turnover_monthly"), F.max("entry").over(firm).alias("entry")).where("own is not null")
+    names = [(F.col("entry")[c]).alias("employees_firm" if c == "employees" else c) for c in kept]
+    return derive_indicators(filled.select("firm_id", "month", *(F.col("own")[c].alias(c) for c in rest), "employees_monthly", "turnover_monthly", *names))
+
+
 def sorted_rows(df: DataFrame, *keys: str) -> DataFrame:
     """By the keys, nulls last; for sinks only."""
     return df.orderBy(*(F.col(k).asc_nulls_last() for k in keys))

@@ -100,7 +100,7 @@ def _panel0(spark: SparkSession, d: str, plus: int = 0) -> DataFrame:
 
 
 def _panel(spark: SparkSession, d: str, plus: int = 0) -> DataFrame:
-    return pan.derive_indicators(_panel0(spark, d, plus))
+    return pan.fused_panel(ad.employment(spark, d, plus), ad.turnover(spark, d), clean.clean_register(ad.register(spark, d), AS_OF))
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:

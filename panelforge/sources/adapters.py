@@ -29,7 +29,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return month_grid(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("firm_id")), FIRST, LAST)
+    return month_grid(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("firm_id")), FIRST, LAST, unique=True)
 
 
 def employment(spark: SparkSession, sf_dir: str, plus: int = 0) -> DataFrame:
@@ -39,8 +39,9 @@ def employment(spark: SparkSession, sf_dir: str, plus: int = 0) -> DataFrame:
 
 
 def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of a customer's orders in a month, missing where there are none."""
-    orders = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("_firm"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("_month"), "o_totalprice")
-    summed = orders.where(F.col("_month").between(FIRST, LAST)).groupBy("_firm", "_month").agg(F.round(F.sum("o_totalprice"), 2).alias("turnover"))
-    g = grid(spark, sf_dir)
-    return g.join(summed, (g.firm_id == summed["_firm"]) & (g.month == summed["_month"]), "left").drop("_firm", "_month")
+    """Sum of a customer's orders in a month, missing where there are none: grid and orders under each other, one aggregation."""
+    orders = _read(spark, sf_dir, "orders").where(F.col("o_orderdate").between(FIRST, F.lit("1999-01-01")))
+    orders = orders.select(F.col("o_custkey").alias("firm_id"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), F.col("o_totalprice").alias("price"), F.lit(False).alias("on_grid"))
+    rows = grid(spark, sf_dir).select("firm_id", "month", F.lit(None).cast("double").alias("price"), F.lit(True).alias("on_grid")).unionByName(orders)
+    summed = rows.groupBy("firm_id", "month").agg(F.round(F.sum("price"), 2).alias("turnover"), F.max("on_grid").alias("on_grid"))
+    return summed.where("on_grid").drop("on_grid")

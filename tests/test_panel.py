@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import clean, figures, validate
 from panelforge.operators import indicators as ind
-from panelforge.operators.panel import build_panel, derive_indicators, month_grid
+from panelforge.operators.panel import build_panel, derive_indicators, fused_panel, month_grid
 
 
 def month(k: int) -> dt.date:
@@ -89,6 +89,21 @@ def test_growth_needs_rows_before(spark):
     assert last["employees_firm"] == 5.0 and last["month_num"] == 1
 
 
+def test_fused_equals_step_by_step(spark):
+    e = [(1, month(k), None if k % 4 == 1 else float(k % 7), 0.5) for k in range(20)] + [(2, month(k), None, 1.0) for k in range(3)] + [(None, month(0), 4.0, 1.0), (3, month(2), 2.0, None)]
+    t = [(1, month(k), None if k % 3 == 1 else 10.0 * k) for k in range(2, 25)] + [(None, month(0), 9.0), (4, month(0), 1.0)]
+    r = [(1, "R1", "A", 5.0), (2, "R2", "B", None), (None, "R3", "C", 1.0), (9, "R4", "D", 2.0)]
+    e = spark.createDataFrame(e, "firm_id int, month date, employees double, seasonal_factor double")
+    t = spark.createDataFrame(t, "firm_id int, month date, turnover double")
+    r = spark.createDataFrame(r, "firm_id int, region_code string, nace_code string, employees double")
+    steps = derive_indicators(build_panel(clean.clean_employment(e), clean.clean_turnover(t), r))
+    fused = fused_panel(e, t, r).select(*steps.columns)
+    assert fused.schema.simpleString() == steps.schema.simpleString()
+    assert sorted(map(str, fused.collect())) == sorted(map(str, steps.collect()))
+    plan = fused_panel(e, t, r)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") <= 2
+
+
 def test_one_exchange_for_all_windows(spark):
     df = panel_of(spark)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import indicators as ind
-from panelforge.operators.panel import build_panel, derive_indicators
+from panelforge.operators.panel import fused_panel
 from panelforge.plans import stages
 from panelforge.sources import generate as gen
 from panelforge.sources.tables import SCHEMAS, clean_names, read_csv, write_csv, write_parquet
@@ -95,7 +95,7 @@ def test_whole_run(spark, tmp_path):
 def test_cells_roll_up(spark):
     """Coarse cells are sums of fine ones; every firm has one sector and one region, and twelve months."""
     firms = gen.register(spark, 200, clean=True)
-    panel = derive_indicators(build_panel(gen.employment(firms), gen.turnover(firms), firms))
+    panel = fused_panel(gen.employment(firms), gen.turnover(firms), firms.drop("legal_form"))
     fine = ind.indicators(panel, ind.GRAINS["sector_region"]).toPandas()
     assert (fine["n_obs"] == 12 * fine["n_firms"]).all() and fine["n_firms"].sum() == 200
     assert (fine["avg_turnover_per_firm"] == fine["total_turnover"] / fine["n_firms"]).all()
