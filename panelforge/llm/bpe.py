@@ -162,7 +162,7 @@ class Encoder:
     may hold and that stand for themselves.
     """
 
-    def __init__(self, ranks: dict[bytes, int], merges: dict[tuple[bytes, bytes], int] | None = None, special: dict[str, int] | None = None, keep: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], merges: dict[tuple[bytes, bytes], int] | None = None, special: dict[str, int] | None = None, keep: int = 250_000):
         self.ranks, self.merges, self.special, self.keep = ranks, merges, special or {}, keep
         self.known: dict[bytes, bytes] = {}  # ids as little-endian words of 4 bytes
         self.code = {t: k.to_bytes(4, "little") for t, k in ranks.items()}

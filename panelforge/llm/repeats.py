@@ -28,7 +28,7 @@ from .common import offsets, prepare, ragged, spread, texts_of
 from .fm_index import FMIndex
 from .slices import factorize
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
