@@ -29,8 +29,8 @@ class Settings:
     trees: int = 10
     sample: int = 20_000
     leaf: int = 160
-    share: float = 0.5
-    least: int = 400
+    share: float = 0.55
+    least: int = 2000
     cell: int = 4096
     seed: int = 5
 
