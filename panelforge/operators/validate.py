@@ -51,15 +51,30 @@ def short_series(df: DataFrame, col: str, table: str) -> DataFrame:
     return _row("short_series", table, per_firm.agg(F.count_if((F.col("known") < 2) & (F.col("known") < F.col("n"))).alias("n")), F.col("n"))
 
 
+def panel_checks(panel: DataFrame, high: float = 1e7) -> DataFrame:
+    """Correlation, productivity range and non-positive employment in one pass: the panel holds the joined columns already."""
+    row = panel.agg(
+        pairwise_corr("employees_monthly", "turnover_monthly").alias("r"),
+        F.count_if(less("productivity", 0) | greater("productivity", high)).alias("n"),
+        na_any(F.col("employees_monthly") <= 0).alias("b"),
+    )
+    none = F.lit(None).cast("double")
+    found = [
+        ("correlation", "employment", F.coalesce(F.col("r") <= 0, F.lit(False)).cast("long"), F.col("r")),
+        ("productivity_range", "panel", F.col("n"), none),
+        ("any_nonpositive", "panel", F.col("b").cast("long"), none),
+    ]
+    structs = [F.struct(F.lit(c).alias("check"), F.lit(t).alias("table"), n.alias("n_violations"), d.alias("detail")) for c, t, n, d in found]
+    return row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
+
+
 def report(register: DataFrame, employment: DataFrame, turnover: DataFrame, panel: DataFrame) -> DataFrame:
-    """All checks in one table."""
+    """All checks in one table; each input is read once for each kind of check."""
     rows = [
         unique_keys(register),
         orphan_ids(employment, register),
         orphan_ids(turnover, register, table="turnover"),
         employment_below_one(employment),
-        correlation(employment, turnover),
-        productivity_range(panel),
-        any_nonpositive(panel),
+        panel_checks(panel),
     ]
     return reduce(DataFrame.unionByName, rows)
