@@ -8,6 +8,7 @@ banded alignment of the template with the words there tells how much of it is ma
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,8 +106,9 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     """(matched words, first, last + 1) of the longest common subsequence within the band.
 
     Word i of the template may pair with the words of the text from i + shift - band to i + shift + band. Of
-    equally good alignments the one with the shortest span that ends first is taken.
+    equally good alignments the one with the shortest span is taken, then the one that starts nearest to the diagonal.
     """
+    rank = lambda o: (o[0], o[1], -abs(o[2] - shift), -o[3])
     size, wide = len(template), 2 * band + 1
     # best[d]: (matched, -span, first) of alignments that end at or before diagonal d of the row
     none = (0, 0, -1, -1)
@@ -120,26 +122,25 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
                 m, _, first, _ = row[d]
                 first = j if m == 0 else first
                 options.append((m + 1, -(j + 1 - first), first, j + 1))
-            fresh[d] = max(options, key=lambda o: (o[0], o[1], -o[3]))
+            fresh[d] = max(options, key=rank)
         row = fresh
-    m, _, first, last = max(row, key=lambda o: (o[0], o[1], -o[3]))
+    m, _, first, last = max(row, key=rank)
     return m, first, last
 
 
 def matches(index: Index, h: np.ndarray, known: dict | None = None) -> list[tuple[int, int, int, int]]:
     """(template, matched words, first word, last word + 1) of a text's matches, by template and place.
 
-    Candidates whose diagonals lie within the band are one; matches of a template that overlap, too: the best stays.
+    Every diagonal that fingerprints hit is aligned. Of matches of a template that overlap the best stays,
+    of equally good ones the first.
     """
     s = index.settings
     place, template, at = index.hits(_runs(h, s.run))
-    found = []
+    kept: list[tuple[int, int, int, int]] = []
     for t in np.unique(template).tolist():
-        diagonals = np.unique((place - at)[template == t])
-        group = np.append(True, np.diff(diagonals) > s.band)
-        for d in np.split(diagonals, np.flatnonzero(group)[1:]):
-            shift, own = int(d[len(d) // 2]), index.words[t]
-            a, b = max(0, shift - s.band - len(d)), min(len(h), shift + len(own) + s.band + len(d))
+        own, found = index.words[t], set()
+        for shift in np.unique((place - at)[template == t]).tolist():
+            a, b = max(0, shift - s.band), min(len(h), shift + len(own) + s.band)
             key = (t, h[a:b].tobytes(), shift - a)
             got = known.get(key) if known is not None else None
             if got is None:
@@ -150,13 +151,14 @@ def matches(index: Index, h: np.ndarray, known: dict | None = None) -> list[tupl
                     known[key] = got
             m, first, last = got
             if m >= s.coverage * len(own):
-                found.append((t, m, first + a, last + a))
-    found.sort(key=lambda f: (f[0], -f[1], f[2]))
-    kept: list[tuple[int, int, int, int]] = []
-    for f in found:
-        if not any(f[0] == k[0] and f[2] < k[3] and k[2] < f[3] for k in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: (f[0], f[2]))
+                found.add((-m, first + a, last + a))
+        taken: list[tuple[int, int, int]] = []  # by place, without overlaps
+        for m, first, last in sorted(found):
+            k = bisect.bisect(taken, (first, last, -m))
+            if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or last <= taken[k][0]):
+                taken.insert(k, (first, last, -m))
+        kept += [(t, m, first, last) for first, last, m in taken]
+    return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,6 +53,13 @@ def test_no_false_match_and_two_matches(spark):
     assert sorted((r["doc_id"], r["license"], r["first_byte"]) for r in got) == [(2, "MIT", 0), (2, "MIT", 0), (2, "MIT", 32), (2, "MIT", 32)]
 
 
+def test_notices_in_a_row_are_all_found(spark):
+    text = "All rights reserved. " * 5 + "Licensed under CC BY-NC 4.0. " * 3
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(r["first_byte"] for r in got if r["license"] == "all-rights-reserved") == [21 * k for k in range(5)]
+    assert sum(r["license"] == "CC-BY-NC-4.0" for r in got) == 3
+
+
 def test_winnowing_keeps_one_of_each_window():
     h = np.random.default_rng(0).integers(0, 1 << 63, 200, dtype=np.uint64)
     kept = set(licenses.winnow(h, 4).tolist())
