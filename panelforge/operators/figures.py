@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.missing import na_mean, na_sum
 
+# Title, horizontal and vertical label of each figure.
+LABELS = {
+    "firm_size_distribution": ("Firm Size Distribution (Average Employees per Firm)", "Average Number of Employees", "Number of Firms"),
+    "avg_turnover_by_sector": ("Average Turnover per Firm by Sector ({year})", "NACE Code", "Average Turnover per Firm"),
+    "monthly_turnover_total": ("Monthly Total Turnover (All Firms)", "Month", "Total Turnover"),
+}
+
 
 def firm_size(panel: DataFrame) -> DataFrame:
     """(firm_id, avg_employees)."""

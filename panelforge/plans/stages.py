@@ -70,13 +70,18 @@ def draw(spark: SparkSession, folder: str) -> None:
     """Three SVG files; only bins, cells and months reach the driver."""
     panel = read_csv(spark, f"{folder}/processed/panel_data.csv", SCHEMAS["panel"])
     bars = figures.histogram(figures.firm_size(panel), "avg_employees").orderBy("bin").collect()
-    figures.write_svg(f"{folder}/figures/firm_size_distribution.svg", "bar", [(f"{(r['lo'] + r['hi']) / 2:.0f}", r["n"]) for r in bars], "Firm Size Distribution (Average Employees per Firm)", "Average Number of Employees", "Number of Firms")
     cells = ind.indicators(panel, ind.GRAINS["sector"])
-    latest = cells.agg(F.max("year")).first()[0]
     flat = sorted_rows(figures.turnover_by_sector(cells), "nace_code").collect()
-    figures.write_svg(f"{folder}/figures/avg_turnover_by_sector.svg", "flat", [(r[0], r[1]) for r in flat], f"Average Turnover per Firm by Sector ({latest})", "NACE Code", "Average Turnover per Firm")
     line = sorted_rows(figures.monthly_turnover(panel), "month").collect()
-    figures.write_svg(f"{folder}/figures/monthly_turnover_total.svg", "line", [(r[0], r[1]) for r in line], "Monthly Total Turnover (All Firms)", "Month", "Total Turnover")
+    data = {
+        "firm_size_distribution": ("bar", [(f"{(r['lo'] + r['hi']) / 2:.0f}", r["n"]) for r in bars]),
+        "avg_turnover_by_sector": ("flat", [(r[0], r[1]) for r in flat]),
+        "monthly_turnover_total": ("line", [(r[0], r[1]) for r in line]),
+    }
+    year = cells.agg(F.max("year")).first()[0]
+    for name, (kind, rows) in data.items():
+        title, x_label, y_label = figures.LABELS[name]
+        figures.write_svg(f"{folder}/figures/{name}.svg", kind, rows, title.format(year=year), x_label, y_label)
 
 
 def run(spark: SparkSession, folder: str, firms: int = gen.FIRMS, as_of_year: int | None = None) -> DataFrame:
