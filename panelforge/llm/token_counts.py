@@ -29,7 +29,7 @@ BLANK = "▁"  # stands for U+0020 in pieces
 class PrefixCounter:
     """Counts by the pieces of a model; keeps the counts of up to ``keep`` units."""
 
-    def __init__(self, model_file: str, keep: int = 300_000):
+    def __init__(self, model_file: str, keep: int = 700_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
