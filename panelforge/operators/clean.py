@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -33,12 +35,13 @@ def group_median(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     return joined.select(*(F.coalesce(F.col(c), F.col("_median")).alias(c) if c == col else F.col(c) for c in df.columns))
 
 
-def interpolated(col: str, key: str = "firm_id", time: str = "month") -> Column:
+def interpolated(col: str, key: str | Sequence[str] = "firm_id", time: str = "month") -> Column:
     """Missing values on the line between their neighbours in time, by days; the nearest value before the first and after the last."""
-    w = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_last())
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.col(time).asc_nulls_last())
     v = present(col)
     point = F.when(v.isNotNull(), F.struct(F.col(time).alias("t"), v.alias("v")))
     p = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Looking ahead costs the square of a series' length; for the months of a firm that is less than a second sort.
     n = F.first(point, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     share = F.try_divide(F.datediff(F.col(time), p["t"]).cast("double"), F.datediff(n["t"], p["t"]).cast("double"))
     return F.when(v.isNotNull(), v).when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * share)

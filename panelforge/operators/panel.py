@@ -37,13 +37,13 @@ def build_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame)
     return panel.withColumns({"month": F.col("month").cast("date"), "employees_monthly": F.col("employees_monthly").cast("double"), "turnover_monthly": F.col("turnover_monthly").cast("double")})
 
 
-def derive_indicators(panel: DataFrame) -> DataFrame:
+def derive_indicators(panel: DataFrame, firm_keys: tuple[str, ...] = ("firm_id",)) -> DataFrame:
     """Growth on the same month a year ago and on the last month (by rows of the firm), productivity, and turnover relative to the firm's mean.
 
     All windows share one partitioning and one sort. On a panel with gaps, complete the grid first.
     """
-    w = Window.partitionBy("firm_id").orderBy(F.col("month").asc_nulls_last())
-    firm = Window.partitionBy("firm_id")
+    w = Window.partitionBy(*firm_keys).orderBy(F.col("month").asc_nulls_last())
+    firm = Window.partitionBy(*firm_keys)
     t, e = F.col("turnover_monthly"), F.col("employees_monthly")
     lags = panel.withColumns({"_t12": F.lag(t, 12).over(w), "_e1": F.lag(e, 1).over(w), "_mean": F.avg(present(t)).over(firm)})
     made = {
@@ -57,29 +57,33 @@ def derive_indicators(panel: DataFrame) -> DataFrame:
 
 
 def fused_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame) -> DataFrame:
-    """Imputation, both joins and all indicators, with one exchange by firm.
+    """Imputation, both joins and all indicators, with one exchange of the monthly rows.
 
-    Rows of the three tables are put under each other, dealt by firm, and merged by month; the register's row
-    reaches its firm's rows as a window aggregate. Gives what cleaning, ``build_panel`` and ``derive_indicators``
-    give one after the other, provided that no table repeats a key (which ``validate.unique_keys`` checks).
+    Rows of the two monthly tables are put under each other, dealt by firm and merged by month; all windows and
+    the join with the register keep to that partitioning and its order. A firm is told by its id and whether that is null, so
+    that null ids meet. Gives what cleaning, ``build_panel`` and ``derive_indicators`` give one after the
+    other, provided that no table repeats a key (which ``validate.unique_keys`` checks).
     """
     rest = [c for c in employment.columns if c not in ("firm_id", "month", "employees", "nace_code", "region_code", "month_num")]
-    kept = [c for c in register.columns if c != "firm_id"]
-    none = lambda t: F.lit(None).cast(t)
-    own = F.struct(F.lit(1).alias("_"), *rest)
-    entry = F.struct(*kept)
-    own_type, entry_type = employment.select(own.alias("x")).schema[0].dataType, register.select(entry.alias("x")).schema[0].dataType
-    day = F.col("month").cast("date").alias("month")
-    e = employment.select("firm_id", day, F.col("employees").cast("double").alias("e"), none("double").alias("t"), own.alias("own"), F.lit(False).alias("in_t"), none(entry_type).alias("entry"))
-    t = turnover.select("firm_id", day, none("double").alias("e"), F.col("turnover").cast("double").alias("t"), none(own_type).alias("own"), F.lit(True).alias("in_t"), none(entry_type).alias("entry"))
-    r = register.select("firm_id", none("date").alias("month"), none("double").alias("e"), none("double").alias("t"), none(own_type).alias("own"), F.lit(False).alias("in_t"), entry.alias("entry"))
-    merged = e.unionByName(t).unionByName(r).repartition("firm_id").groupBy("firm_id", "month").agg(*(F.max(c).alias(c) for c in ("e", "t", "own", "in_t", "entry")))
-    e_filled = F.when(present("e").isNull(), half_even(interpolated("e"))).otherwise(F.col("e"))
-    t_filled = F.when(F.col("in_t"), interpolated("t"))  # without a row in the table there is nothing to fill
-    firm = Window.partitionBy("firm_id")
-    filled = merged.select("firm_id", "month", "own", e_filled.alias("employees_monthly"), t_filled.alias("turnover_monthly"), F.max("entry").over(firm).alias("entry")).where("own is not null")
-    names = [(F.col("entry")[c]).alias("employees_firm" if c == "employees" else c) for c in kept]
-    return derive_indicators(filled.select("firm_id", "month", *(F.col("own")[c].alias(c) for c in rest), "employees_monthly", "turnover_monthly", *names))
+    kind = employment.schema["firm_id"].dataType
+    some = F.lit("" if kind.simpleString() == "string" else 0).cast(kind)
+    firm = ("_firm", "_no_firm")
+
+    def keyed(df: DataFrame) -> list:
+        return [F.coalesce(F.col("firm_id").cast(kind), some).alias(firm[0]), F.col("firm_id").isNull().alias(firm[1])]
+
+    day, none = F.col("month").cast("date").alias("month"), F.lit(None)
+    e = employment.select(*keyed(employment), day, F.col("employees").cast("double").alias("e"), none.cast("double").alias("t"), *rest, F.lit(True).alias("_in_e"), F.lit(False).alias("_in_t"))
+    t = turnover.select(*keyed(turnover), day, none.cast("double").alias("e"), F.col("turnover").cast("double").alias("t"), *(none.cast(employment.schema[c].dataType).alias(c) for c in rest), F.lit(False).alias("_in_e"), F.lit(True).alias("_in_t"))
+    merged = e.unionByName(t).repartition(*firm).groupBy(*firm, "month").agg(*(F.max(c).alias(c) for c in ("e", "t", *rest, "_in_e", "_in_t")))
+    e_filled = F.when(present("e").isNull(), half_even(interpolated("e", firm))).otherwise(F.col("e"))
+    t_filled = F.when(F.col("_in_t"), interpolated("t", firm))  # without a row in the table there is nothing to fill
+    filled = merged.select(*firm, "month", *rest, e_filled.alias("employees_monthly"), t_filled.alias("turnover_monthly"), "_in_e").where("_in_e")
+    r = register.withColumnRenamed("employees", "employees_firm")
+    entries = r.select(*keyed(r), *(c for c in r.columns if c != "firm_id"))
+    made = derive_indicators(filled.drop("_in_e"), firm).join(entries, list(firm), "left")
+    before = ["month", *rest, "employees_monthly", "turnover_monthly", *(c for c in r.columns if c != "firm_id")]
+    return made.select(F.when(~F.col(firm[1]), F.col(firm[0])).alias("firm_id"), *before, *(c for c in made.columns if c not in (*firm, *before)))
 
 
 def sorted_rows(df: DataFrame, *keys: str) -> DataFrame:
