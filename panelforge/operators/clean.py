@@ -39,12 +39,13 @@ def interpolated(col: str, key: str | Sequence[str] = "firm_id", time: str = "mo
     """Missing values on the line between their neighbours in time, by days; the nearest value before the first and after the last."""
     w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.col(time).asc_nulls_last())
     v = present(col)
-    point = F.when(v.isNotNull(), F.struct(F.col(time).alias("t"), v.alias("v")))
-    p = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = F.when(v.isNotNull(), F.col(time))
+    before, behind = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    pv, pt = (F.last(x, ignorenulls=True).over(before) for x in (v, at))
     # Looking ahead costs the square of a series' length; for the months of a firm that is less than a second sort.
-    n = F.first(point, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    share = F.try_divide(F.datediff(F.col(time), p["t"]).cast("double"), F.datediff(n["t"], p["t"]).cast("double"))
-    return F.when(v.isNotNull(), v).when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * share)
+    nv, nt = (F.first(x, ignorenulls=True).over(behind) for x in (v, at))
+    share = F.try_divide(F.datediff(F.col(time), pt).cast("double"), F.datediff(nt, pt).cast("double"))
+    return F.when(v.isNotNull(), v).when(pv.isNull(), nv).when(nv.isNull(), pv).otherwise(pv + (nv - pv) * share)
 
 
 def interpolate(df: DataFrame, col: str, round_imputed: bool = False, strict: bool = False, key: str = "firm_id", time: str = "month") -> DataFrame:
