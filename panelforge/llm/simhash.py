@@ -4,7 +4,8 @@ The anchors are words of the binary Golay code, one code for every 23 bits: each
 bits lies within 3 bits of exactly one of the 4096 anchors, its home. Two fingerprints that
 differ in few bits have homes close to both, so every fingerprint goes to all anchors within
 the covering radius plus the threshold, and only fingerprints of one anchor are compared. Equal
-fingerprints count once. What is found are star edges, no lists of pairs.
+fingerprints count once. What is found are star edges, no lists of pairs. A plan with a similarity
+takes these edges as candidates only, and links texts by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, offsets, prepare, spread, texts_of
+from .common import chunks, offsets, prepare, ragged, spread, texts_of
 from .graph import components
 
 BITS, RADIUS = 23, 3
@@ -35,7 +36,9 @@ class Plan:
 
     shingle: words of a shingle. words: machine words of a fingerprint. distance: bits that linked
     fingerprints differ in at most. tables: for each table, the bits of its blocks of 23 bits; a
-    fingerprint goes to the anchors that changing ``reach`` bits in a table can lead to.
+    fingerprint goes to the anchors that changing ``reach`` bits in a table can lead to. similarity:
+    if not 0, fingerprints are of sets of shingles and only candidates; links are pairs whose sets have
+    this similarity (Jaccard) at least.
     """
 
     shingle: int = 3
@@ -43,10 +46,11 @@ class Plan:
     distance: int = 2
     tables: tuple = ((tuple(range(BITS)), tuple(range(BITS, 2 * BITS))),)
     reach: int = 2
+    similarity: float = 0.0
 
 
 def near_plan(shingle: int = 5, words: int = 10, distance: int = 106, tables: int = 25, seed: int = 11) -> Plan:
-    """Links at a shingle similarity of about 0.8 or more.
+    """Links at a shingle similarity of 0.8 or more, among candidates of about that similarity.
 
     Sets of similarity J make vectors with cosine 2J/(1+J), and a bit differs with probability
     arccos(cosine)/pi: 0.151 at J = 0.8, so 97 of 640 bits on average, with a deviation of 9. Each table
@@ -54,7 +58,7 @@ def near_plan(shingle: int = 5, words: int = 10, distance: int = 106, tables: in
     of at least one table in 96 of 100 cases, at J = 0.9 in more than 99.
     """
     rng = np.random.default_rng(seed)
-    return Plan(shingle, words, distance, tuple((tuple(sorted(rng.choice(64 * words, BITS, replace=False).tolist())),) for _ in range(tables)), 0)
+    return Plan(shingle, words, distance, tuple((tuple(sorted(rng.choice(64 * words, BITS, replace=False).tolist())),) for _ in range(tables)), 0, 0.8)
 
 
 @functools.cache
@@ -101,24 +105,33 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(texts: list[bytes], shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
-    """(texts, words) machine words: a bit is 1 if more than half of the shingles' hashes have it. No words: 0."""
+def shingle_hashes(texts: list[bytes], shingle: int, seed: int = 42, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' shingles one after the other, and how many each text has; ``once``: sorted, without repeats."""
     digest = xxhash.xxh64_digest
     parts, counts = [], []
     for t in texts:
         own = t.lower().split()  # ASCII: A-Z, and 0x20, 0x09 to 0x0D
         if len(own) < shingle:
-            parts.append(digest(b" ".join(own), seed) if own else b"")
-            counts.append(int(bool(own)))
-            continue
-        joined = b" ".join(own)
-        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-        starts = np.append(0, ends[:-1] + 1)
-        parts.append(b"".join([digest(joined[s:e], seed) for s, e in zip(starts[: len(own) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]))
-        counts.append(len(own) - shingle + 1)
-    hashes = np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
-    n = np.array(counts, np.int64)
-    out = np.zeros((len(texts), words), np.uint64)
+            part = digest(b" ".join(own), seed) if own else b""
+        else:
+            joined = b" ".join(own)
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+            starts = np.append(0, ends[:-1] + 1)
+            part = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[: len(own) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+        if once:
+            part = np.unique(np.frombuffer(part, ">u8").astype(np.uint64)).astype(">u8").tobytes()
+        parts.append(part)
+        counts.append(len(part) // 8)
+    return np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.array(counts, np.int64)
+
+
+def fingerprints(texts: list[bytes], shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
+    """(texts, words) machine words: a bit is 1 if more than half of the shingles' hashes have it. No words: 0."""
+    return _majority(*shingle_hashes(texts, shingle, seed), words)
+
+
+def _majority(hashes: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros((len(n), words), np.uint64)
     if not len(hashes):
         return out
     # Blocks of at most 255 hashes of one text: each lane of a machine word holds a count of up to 255.
@@ -130,7 +143,7 @@ def fingerprints(texts: list[bytes], shingle: int, words: int = 1, seed: int = 4
     for k in range(words):
         lanes = _LANES[_mixed(hashes, k).view(np.uint8).reshape(-1, 8)]
         sums = np.add.reduceat(lanes, heads, axis=0).view(np.uint8).reshape(-1, 64)
-        ones = np.zeros((len(texts), 64), np.int64)
+        ones = np.zeros((len(n), 64), np.int64)
         ones[full] = np.add.reduceat(sums.astype(np.int64), block_of[full], axis=0)
         out[:, k] = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
@@ -234,19 +247,133 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint_column(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print): the fingerprint of each whole text as bytes, the highest first. No words (null, empty): zero."""
+    """(doc_id, print): the fingerprint of each whole text as bytes, the highest first. No words (null, empty): zero.
+
+    With a similarity, 16 bytes follow that tell sets of shingles apart whose fingerprints are equal.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
         for ids, texts in chunks(batches):
-            f = fingerprints(texts, plan.shingle, plan.words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in f.astype(">u8")], pa.binary())], ["doc_id", "print"])
+            hashes, n = shingle_hashes(texts, plan.shingle, once=bool(plan.similarity))
+            prints = [x.tobytes() for x in _majority(hashes, n, plan.words).astype(">u8")]
+            if plan.similarity:
+                at = offsets(n)
+                prints = [x + xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for x, a, b in zip(prints, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "print"])
 
     return spread(texts_of(docs, id_col, text_col)).mapInArrow(run, "doc_id long, print binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(len(column), -1).astype(np.uint64)
+def _matrix(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(len(column), -1)[:, :words].astype(np.uint64)
+
+
+def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set, the place of the first one that it is connected with over pairs of a similarity of ``least`` or more.
+
+    Every set is compared with all that nothing has reached yet: each set asks once, no pair that could connect two groups is left out.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    at, marked = offsets(n), np.zeros(len(values) + 1, np.int64)
+    label, left, queue = np.full(len(sets), -1), np.arange(len(sets)), []
+    while len(left):
+        if not queue:
+            label[left[0]] = left[0]
+            queue.append(int(left[0]))
+            left = left[1:]
+            flat = np.append(ragged(codes, at[:-1][left], n[left]), len(values))
+            heads = offsets(n[left])[:-1]
+            continue
+        c = queue.pop()
+        own = codes[at[c] : at[c + 1]]
+        marked[own] = 1
+        both = np.where(n[left] > 0, np.add.reduceat(marked[flat], heads), 0)
+        marked[own] = 0
+        # x >= least * (a + b - x), without division; two empty sets are alike
+        near = both + 1e-9 >= least * (n[left] + n[c] - both)
+        if near.any():
+            label[left[near]] = label[c]
+            queue.extend(left[near].tolist())
+            left = left[~near]
+            flat = np.append(ragged(codes, at[:-1][left], n[left]), len(values))
+            heads = offsets(n[left])[:-1]
+    return label
+
+
+def _groups(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, which come one after the other."""
+    held: list[pa.Table] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        key = np.stack([t[k].to_numpy() for k in keys], axis=1)
+        heads = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()
+        if held and (key[0] != last).any():
+            yield pa.concat_tables(held)
+            held = []
+        for x, y in zip(heads, [*heads[1:], None], strict=True):
+            if y is None:
+                held.append(t.slice(x))
+            else:
+                yield pa.concat_tables([*held, t.slice(x, y - x)])
+                held = []
+        last = key[-1]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def exact_components(docs: DataFrame, found: DataFrame, plan: Plan, part: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, component): the groups of ``found`` parted by the similarity of whole sets of shingles.
+
+    A group of up to ``part`` texts is compared in one place. A larger one is dealt into parts, each with the
+    group's least text; texts connected with that one need no comparison among each other, and those that
+    aren't meet all parts, again so many at a time.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One row for each group of more than a part.
+    large = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("component", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    sized = found.join(F.broadcast(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    texts = texts_of(docs, id_col, text_col).join(sized.withColumnRenamed("node", "doc_id"), "doc_id")
+    fields = texts.select("component", "parts", "doc_id", "text")
+
+    def reduce(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                piece = b.slice(k, 256)
+                hashes, n = shingle_hashes(piece.column(3).to_pylist(), plan.shingle, once=True)
+                at = offsets(n)
+                sets = pa.array([hashes[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], sets], ["component", "parts", "node", "shingles"])
+
+    # Rows may repeat an id: the texts of one id are all compared, and the id stands for each of them.
+    sets = fields.mapInArrow(reduce, "component long, parts int, node long, shingles binary").distinct().withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).checkpoint()
+
+    def compare(batches):
+        for t in _groups(batches, ["component", "block", "part"]):
+            node = t["node"].to_numpy()
+            own = similar([np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()], plan.similarity)
+            a, b = stars(node, node[own])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "component", "block", "part").sortWithinPartitions("component", "block", "part", "node").mapInArrow(compare, "a long, b long")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    hubs = sets.where("parts > 1 and node = component").select("component", F.lit(0).alias("block"), every.alias("part"), "node", "shingles")
+    first = compared(sets.select("component", F.lit(0).alias("block"), "part", "node", "shingles").union(hubs)).checkpoint()
+    # Of large groups: texts not connected with the least one, and the blocks that they make.
+    joined = first.select(F.col("a").alias("node"), F.col("b").alias("to"))
+    apart = sets.where("parts > 1 and node <> component").join(joined, "node", "left").where("to is null or to <> component").drop("to")
+    blocks = apart.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("blocks"))
+    block = F.broadcast(blocks)
+    asking = apart.join(block, "component").select("component", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), every.alias("part"), "node", "shingles")
+    asked = sets.where("parts > 1").join(block, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "node", "shingles")
+    return components(first.union(compared(asking.union(asked))))
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +392,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
         for b in batches:
             rep, column = b.column(1).to_numpy(zero_copy_only=False), b.column(0)
             for k in range(0, len(rep), 4096):
-                row, anchor, home = anchors(_matrix(column[k : k + 4096]), plan)
+                row, anchor, home = anchors(_matrix(column[k : k + 4096], plan.words), plan)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(home), pa.array(rep[k : k + 4096][row]), column[k : k + 4096].take(pa.array(row))], ["anchor", "home", "rep", "print"])
 
     def compare(batches):
@@ -273,7 +400,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
 
         def found(t: pa.Table) -> pa.RecordBatch:
             rep = t["rep"].to_numpy()
-            a, b = _compare(t["anchor"].to_numpy(), t["home"].to_numpy(), _matrix(t["print"].combine_chunks()), plan.distance)
+            a, b = _compare(t["anchor"].to_numpy(), t["home"].to_numpy(), _matrix(t["print"].combine_chunks(), plan.words), plan.distance)
             return pa.RecordBatch.from_arrays([*map(pa.array, stars(rep[a], rep[b]))], ["a", "b"])
 
         for batch in batches:
@@ -295,6 +422,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     dealt = classes.where("rep is not null").select("print", "rep").repartition(parts).mapInArrow(replicate, "anchor long, home boolean, rep long, print binary")
     edges = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
     found = components(edges)
+    if plan.similarity:
+        found = exact_components(docs, found, plan, id_col=id_col, text_col=text_col)
     known = classes.join(found, classes.rep == found.node, "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(known, "print").select("doc_id", "print", "component_id")
 

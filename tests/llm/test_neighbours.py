@@ -103,6 +103,65 @@ def test_near_plan_finds_similar_texts(spark):
     assert all(got[2 * k] == 2 * k for k in range(60))
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def near_pairs(low, high, count, seed, length=300):
+    """Texts of random words and a changed copy of each, of a similarity from ``low`` up to ``high``."""
+    rng = np.random.default_rng(seed)
+    out = []
+    while len(out) < count:
+        words = [f"v{x}" for x in rng.integers(0, 5000, length)]
+        own = list(words)
+        for at in rng.choice(length, int(rng.integers(4, 14)), replace=False).tolist():
+            own[at] = "changed"
+        if low <= alike(five_words(" ".join(words)), five_words(" ".join(own))) < high:
+            out.append((" ".join(words), " ".join(own)))
+    return out
+
+
+def near_groups(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows, simhash.near_plan()).collect()}
+
+
+def test_near_plan_leaves_texts_below_its_similarity(spark):
+    texts = [t for pair in near_pairs(0.70, 0.79, 80, 5) for t in pair]
+    rng = np.random.default_rng(6)
+    line = " ".join(f"l{k}" for k in range(10)) + "\n"
+    for _ in range(2):  # one line in common many times, the rest their own
+        texts.append(line * 60 + " ".join(f"v{x}" for x in rng.integers(0, 5000, 60)))
+    assert near_groups(spark, texts) == {k: k for k in range(len(texts))}
+
+
+def test_groups_are_parted_like_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(3):
+        words = [f"v{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(40):  # copies of a copy: similar ones and others in a group
+            words = list(words)
+            for at in rng.choice(120, int(rng.integers(0, 8)), replace=False).tolist():
+                words[at] = f"c{rng.integers(0, 5000)}"
+            texts.append(" ".join(words))
+    ids = rng.permutation(len(texts)).tolist()
+    sets = dict(zip(ids, map(five_words, texts), strict=True))
+    want = slow_components(ids, [(a, b) for a in ids for b in range(a) if alike(sets[a], sets[b]) >= 0.8])
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    least = {k: min(ids[k // 40 * 40 : k // 40 * 40 + 40]) for k in range(len(ids))}
+    found = spark.createDataFrame([(ids[k], least[k]) for k in range(len(ids))], "node long, component long")
+    for part in (7, 256):
+        got = {r["node"]: r["component"] for r in simhash.exact_components(docs, found, simhash.near_plan(), part).collect()}
+        assert {i: got.get(i, i) for i in ids} == want
+    assert 3 < len(set(want.values())) < len(ids)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(k, k + 1) for k in range(1, 60)], [(1000, k) for k in range(1, 60)], [(5, 5), (7, 5), (5, 7), (9, 8)]])
 def test_components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
