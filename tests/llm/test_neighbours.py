@@ -140,6 +140,12 @@ def test_near_plan_leaves_texts_below_its_similarity(spark):
     assert near_groups(spark, texts) == {k: k for k in range(len(texts))}
 
 
+def test_near_plan_finds_texts_at_its_similarity(spark):
+    texts = [t for pair in near_pairs(0.80, 0.82, 150, 9) for t in pair]
+    got = near_groups(spark, texts)
+    assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 148
+
+
 def test_groups_are_parted_like_all_pairs(spark):
     rng = np.random.default_rng(12)
     texts = []
