@@ -45,7 +45,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     the last of ``ACTIONS`` holds, so repeated entries count once.
     """
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
-    known = entries.select(F.lower("pattern").alias("pattern"), F.col("listed_on").cast("date").alias("listed_on"), rank.alias("rank"))
+    # Only the host's case doesn't matter.
+    lowered = F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
+    known = entries.select(lowered.alias("pattern"), F.col("listed_on").cast("date").alias("listed_on"), rank.alias("rank"))
     daily = known.where("pattern is not null and listed_on is not null and rank > 0").groupBy("pattern", "listed_on").agg(F.max("rank").cast("int").alias("rank"))
     following = Window.partitionBy("pattern").orderBy("listed_on")
     spans = daily.withColumn("until", F.lead("listed_on").over(following)).where("rank > 1")

@@ -103,6 +103,16 @@ def test_filter_against_every_entry(spark):
     assert url_filter.temporal_filter(c.limit(0), e).count() == 0
 
 
+def test_filter_keeps_the_case_of_paths(spark):
+    day = dt.date(2024, 1, 1)
+    listed = ["A.Example.com/Docs/Page.HTML", "B.org/Docs/", "C.ORG", "d.org/docs/"]
+    urls = ["http://a.example.COM/Docs/Page.HTML", "b.org/Docs/x", "c.org/X", "d.org/Docs/x"]
+    e = spark.createDataFrame([(p, day, "block") for p in listed], "pattern string, listed_on date, action string")
+    c = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    got = {r["page_id"]: r["pattern"] for r in url_filter.temporal_filter(c, e).collect()}
+    assert got == {0: "a.example.com/Docs/Page.HTML", 1: "b.org/Docs/", 2: "c.org", 3: None}
+
+
 def test_filter_runs_no_python(spark):
     e = spark.createDataFrame([("b.org", dt.date(2024, 1, 1), "block")], "pattern string, listed_on date, action string")
     c = spark.createDataFrame([(1, "b.org", dt.date(2024, 1, 1))], "page_id long, url string, fetched_on date")
