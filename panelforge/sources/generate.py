@@ -42,9 +42,14 @@ def seasonal_factor(code, month_num):
 
 
 def register(spark: SparkSession, firms: int = FIRMS, seed: int = SEED, clean: bool = False) -> DataFrame:
-    """A row for each firm; 2 % of employees missing and 2 % of revenues negative unless ``clean``."""
+    """A row for each of ``firms`` firms."""
+    return register_of(spark.range(1, firms + 1), seed, clean)
+
+
+def register_of(numbers: DataFrame, seed: int = SEED, clean: bool = False) -> DataFrame:
+    """A row for each ``id``; 2 % of employees missing and 2 % of revenues negative unless ``clean``."""
     u = lambda name: draws.uniform(seed, name, "firm_id")
-    df = spark.range(1, firms + 1).select(F.format_string("F%05d", "id").alias("firm_id"))
+    df = numbers.select(F.format_string("F%05d", "id").alias("firm_id"))
     df = df.select(
         "firm_id",
         draws.choice(u("region"), REGIONS).alias("region_code"),
