@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from panelforge.functions.missing import half_even, na_case, present
+from panelforge.functions.missing import as_date, as_number, half_even, na_case, present
 
 
 def positive_revenue(df: DataFrame, col: str = "revenue_last_year") -> DataFrame:
@@ -37,13 +37,12 @@ def group_median(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 
 def interpolated(col: str, key: str | Sequence[str] = "firm_id", time: str = "month") -> Column:
     """Missing values on the line between their neighbours in time, by days; the nearest value before the first and after the last."""
-    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.col(time).asc_nulls_last())
+    series = Window.partitionBy(*([key] if isinstance(key, str) else key))
     v = present(col)
     at = F.when(v.isNotNull(), F.col(time))
-    before, behind = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    pv, pt = (F.last(x, ignorenulls=True).over(before) for x in (v, at))
-    # Looking ahead costs the square of a series' length; for the months of a firm that is less than a second sort.
-    nv, nt = (F.first(x, ignorenulls=True).over(behind) for x in (v, at))
+    # The next value is the last one before in reversed order: a second sort, but a step for each row however long a series is.
+    orders = (F.col(time).asc_nulls_last(), F.col(time).desc_nulls_first())
+    (pv, pt), (nv, nt) = ([F.last(x, ignorenulls=True).over(series.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)) for x in (v, at)] for o in orders)
     share = F.try_divide(F.datediff(F.col(time), pt).cast("double"), F.datediff(nt, pt).cast("double"))
     return F.when(v.isNotNull(), v).when(pv.isNull(), nv).when(nv.isNull(), pv).otherwise(pv + (nv - pv) * share)
 
@@ -69,8 +68,8 @@ def clean_register(df: DataFrame, as_of_year: int | None = None) -> DataFrame:
 
 
 def clean_employment(df: DataFrame, strict: bool = False) -> DataFrame:
-    return interpolate(df.withColumn("month", F.col("month").cast("date")), "employees", True, strict)
+    return interpolate(df.withColumns({"month": as_date("month"), "employees": as_number("employees")}), "employees", True, strict)
 
 
 def clean_turnover(df: DataFrame, strict: bool = False) -> DataFrame:
-    return interpolate(df.withColumn("month", F.col("month").cast("date")), "turnover", False, strict)
+    return interpolate(df.withColumns({"month": as_date("month"), "turnover": as_number("turnover")}), "turnover", False, strict)

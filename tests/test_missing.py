@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelforge.functions import missing as na
@@ -66,6 +68,19 @@ def test_six_numbers(spark):
     assert empty["n_missing"] == 1 and empty["median"] is None
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.floats(allow_nan=False), st.sampled_from([0.0, 1.0, 1e300, INF, -INF])), min_size=1, max_size=60), st.sampled_from([2, 3, 1024]))
+def test_order_statistics(spark, values, bins):
+    df = frame(spark, [(v,) for v in values], "x double")
+    assert na.order_statistics(df, "x", range(len(values)), bins) == dict(enumerate(sorted(values)))
+
+
+def test_text_that_is_no_value(spark):
+    df = frame(spark, [("2023-02-30", "x"), ("2023-02-01", "1.5"), (None, None), ("n/a", "")], "d string, x string")
+    rows = df.select(na.as_date("d").cast("string"), na.as_number("x")).collect()
+    assert [tuple(r) for r in rows] == [(None, None), ("2023-02-01", 1.5), (None, None), (None, None)]
+
+
 def test_null_keys_match_and_names_collide(spark):
     a = frame(spark, [(None, 1), (1, 2), (2, 3)], "k int, v int")
     b = frame(spark, [(None, 10), (1, 20), (1, 21)], "k int, v int")
