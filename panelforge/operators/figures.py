@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from panelforge.functions.missing import na_mean, na_sum
 
@@ -18,6 +19,13 @@ LABELS = {
 }
 
 
+def labels(panel: DataFrame) -> DataFrame:
+    """(figure, title, x_label, y_label); titles name the panel's latest year."""
+    rows = panel.sparkSession.createDataFrame([(k, *v) for k, v in LABELS.items()], "figure string, title string, x_label string, y_label string")
+    latest = panel.agg(F.year(F.max("month")).cast("string").alias("year"))  # one row
+    return rows.crossJoin(F.broadcast(latest)).select("figure", F.replace("title", F.lit("{year}"), "year").alias("title"), "x_label", "y_label")
+
+
 def firm_size(panel: DataFrame) -> DataFrame:
     """(firm_id, avg_employees)."""
     return panel.groupBy("firm_id").agg(na_mean("employees_monthly").alias("avg_employees"))
@@ -40,8 +48,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 def turnover_by_sector(sector_indicators: DataFrame) -> DataFrame:
     """(nace_code, avg_turnover_per_firm) of the latest year."""
-    latest = sector_indicators.agg(F.max("year").alias("year"))  # one row
-    return sector_indicators.join(F.broadcast(latest), "year").select("nace_code", "avg_turnover_per_firm")
+    # Cells are few, a row for each year and sector; the panel behind them is read once.
+    latest = sector_indicators.withColumn("latest", F.max("year").over(Window.partitionBy()))
+    return latest.where(F.col("year") == F.col("latest")).select("nace_code", "avg_turnover_per_firm")
 
 
 def monthly_turnover(panel: DataFrame) -> DataFrame:

@@ -55,6 +55,11 @@ def indicator_cube(panel: DataFrame, empty_nan: bool = False) -> DataFrame:
     return _measures(per_firm.groupBy("grain", *keys).agg(*_totals()), empty_nan)
 
 
+def roll_up(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of finer cells. Firms may be added where each is in one of the finer cells only."""
+    return cells.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n_obs", "n_firms", "total_turnover", "total_employees")))
+
+
 def finite(c: str):
     """Null instead of an infinite or missing value, for sinks that can't hold them."""
     x = F.col(c)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from panelforge.functions.missing import half_even, ieee_divide, present
+from panelforge.functions.missing import as_date, as_number, half_even, ieee_divide, present
 from panelforge.operators.clean import interpolated
 
 
@@ -22,10 +22,17 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on, "left").drop(*(f"_right_{k}" for k in keys))
 
 
-def month_grid(firms: DataFrame, first: str, last: str, key: str = "firm_id", unique: bool = False) -> DataFrame:
-    """(firm, month) for every firm and month; made within rows, without a join. ``unique``: no firm occurs twice."""
-    keys = firms.select(key)
-    return (keys if unique else keys.distinct()).withColumn("month", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))))
+def month_grid(firms: DataFrame, span: DataFrame | tuple[str, str], key: str = "firm_id", unique: bool = False) -> DataFrame:
+    """(firm, month) for every firm and month of the span; the months are made within rows. ``unique``: no firm occurs twice.
+
+    span: first and last month as text, or one row (first, last), which goes to all tasks. A span without a first month has no rows.
+    """
+    keys = firms.select(key) if unique else firms.select(key).distinct()
+    if isinstance(span, DataFrame):
+        both = keys.crossJoin(F.broadcast(span.where("first is not null")))
+    else:
+        both = keys.select(key, *(F.lit(x).cast("date").alias(n) for n, x in zip(("first", "last"), span, strict=True)))
+    return both.select(key, F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
 
 
 def build_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame) -> DataFrame:
@@ -34,7 +41,7 @@ def build_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame)
     t = turnover.withColumnRenamed("turnover", "turnover_monthly").drop("nace_code", "region_code")
     r = register.withColumnRenamed("employees", "employees_firm")
     panel = left_join(left_join(e, t, ["firm_id", "month"]), r, ["firm_id"])
-    return panel.withColumns({"month": F.col("month").cast("date"), "employees_monthly": F.col("employees_monthly").cast("double"), "turnover_monthly": F.col("turnover_monthly").cast("double")})
+    return panel.withColumns({"month": as_date("month"), "employees_monthly": as_number("employees_monthly"), "turnover_monthly": as_number("turnover_monthly")})
 
 
 def derive_indicators(panel: DataFrame, firm_keys: tuple[str, ...] = ("firm_id",)) -> DataFrame:
@@ -62,7 +69,7 @@ def fused_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame)
     Rows of the two monthly tables are put under each other, dealt by firm and merged by month; all windows and
     the join with the register keep to that partitioning and its order. A firm is told by its id and whether that is null, so
     that null ids meet. Gives what cleaning, ``build_panel`` and ``derive_indicators`` give one after the
-    other, provided that no table repeats a key (which ``validate.unique_keys`` checks).
+    other. A firm and month that a monthly table repeats raises an error: matches would multiply, which only those three do.
     """
     rest = [c for c in employment.columns if c not in ("firm_id", "month", "employees", "nace_code", "region_code", "month_num")]
     kind = employment.schema["firm_id"].dataType
@@ -72,10 +79,12 @@ def fused_panel(employment: DataFrame, turnover: DataFrame, register: DataFrame)
     def keyed(df: DataFrame) -> list:
         return [F.coalesce(F.col("firm_id").cast(kind), some).alias(firm[0]), F.col("firm_id").isNull().alias(firm[1])]
 
-    day, none = F.col("month").cast("date").alias("month"), F.lit(None)
-    e = employment.select(*keyed(employment), day, F.col("employees").cast("double").alias("e"), none.cast("double").alias("t"), *rest, F.lit(True).alias("_in_e"), F.lit(False).alias("_in_t"))
-    t = turnover.select(*keyed(turnover), day, none.cast("double").alias("e"), F.col("turnover").cast("double").alias("t"), *(none.cast(employment.schema[c].dataType).alias(c) for c in rest), F.lit(False).alias("_in_e"), F.lit(True).alias("_in_t"))
-    merged = e.unionByName(t).repartition(*firm).groupBy(*firm, "month").agg(*(F.max(c).alias(c) for c in ("e", "t", *rest, "_in_e", "_in_t")))
+    day, none = as_date("month").alias("month"), F.lit(None)
+    e = employment.select(*keyed(employment), day, as_number("employees").alias("e"), none.cast("double").alias("t"), *rest, F.lit(1).alias("_in_e"), F.lit(0).alias("_in_t"))
+    t = turnover.select(*keyed(turnover), day, none.cast("double").alias("e"), as_number("turnover").alias("t"), *(none.cast(employment.schema[c].dataType).alias(c) for c in rest), F.lit(0).alias("_in_e"), F.lit(1).alias("_in_t"))
+    counted = e.unionByName(t).repartition(*firm).groupBy(*firm, "month").agg(*(F.max(c).alias(c) for c in ("e", "t", *rest)), *(F.sum(c).alias(c) for c in ("_in_e", "_in_t")))
+    once = F.when(F.greatest("_in_e", "_in_t") > 1, F.raise_error(F.concat(F.lit("repeated firm and month: "), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (firm[0], "month")))).cast("boolean"))
+    merged = counted.withColumns({"_in_t": F.coalesce(once, F.col("_in_t") > 0), "_in_e": F.coalesce(once, F.col("_in_e") > 0)})
     e_filled = F.when(present("e").isNull(), half_even(interpolated("e", firm))).otherwise(F.col("e"))
     t_filled = F.when(F.col("_in_t"), interpolated("t", firm))  # without a row in the table there is nothing to fill
     filled = merged.select(*firm, "month", *rest, e_filled.alias("employees_monthly"), t_filled.alias("turnover_monthly"), "_in_e").where("_in_e")

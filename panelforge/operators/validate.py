@@ -51,9 +51,10 @@ def short_series(df: DataFrame, col: str, table: str) -> DataFrame:
     return _row("short_series", table, per_firm.agg(F.count_if((F.col("known") < 2) & (F.col("known") < F.col("n"))).alias("n")), F.col("n"))
 
 
-def panel_checks(panel: DataFrame, high: float = 1e7) -> DataFrame:
-    """Correlation, productivity range and non-positive employment in one pass: the panel holds the joined columns already."""
+def panel_checks(panel: DataFrame, high: float = 1e7, below: bool = False) -> DataFrame:
+    """Correlation, productivity range, non-positive employment and (``below``) employment below one in one pass: the panel holds the joined columns already."""
     row = panel.agg(
+        F.count_if(less("employees_monthly", 1)).alias("below"),
         pairwise_corr("employees_monthly", "turnover_monthly").alias("r"),
         F.count_if(less("productivity", 0) | greater("productivity", high)).alias("n"),
         na_any(F.col("employees_monthly") <= 0).alias("b"),
@@ -64,17 +65,24 @@ def panel_checks(panel: DataFrame, high: float = 1e7) -> DataFrame:
         ("productivity_range", "panel", F.col("n"), none),
         ("any_nonpositive", "panel", F.col("b").cast("long"), none),
     ]
+    if below:
+        found.append(("employment_below_one", "employment", F.col("below"), none))
     structs = [F.struct(F.lit(c).alias("check"), F.lit(t).alias("table"), n.alias("n_violations"), d.alias("detail")) for c, t, n, d in found]
     return row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
 
 
-def report(register: DataFrame, employment: DataFrame, turnover: DataFrame, panel: DataFrame) -> DataFrame:
-    """All checks in one table; each input is read once for each kind of check."""
+def report(register: DataFrame, employment: DataFrame, turnover: DataFrame, panel: DataFrame, one_row_a_month: bool = False) -> DataFrame:
+    """All checks in one table; each input is read once for each kind of check.
+
+    one_row_a_month: the panel has each row of ``employment`` once, since no table repeats a key (``fused_panel`` sees to that for
+    the monthly ones). Then employment below one is counted in the panel, and ``employment`` needn't be cleaned.
+    """
     rows = [
         unique_keys(register),
         orphan_ids(employment, register),
         orphan_ids(turnover, register, table="turnover"),
-        employment_below_one(employment),
-        panel_checks(panel),
+        panel_checks(panel, below=one_row_a_month),
     ]
+    if not one_row_a_month:
+        rows.append(employment_below_one(employment))
     return reduce(DataFrame.unionByName, rows)

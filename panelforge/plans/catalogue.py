@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions import missing as na
+from panelforge.functions.draws import poisson_table, uniform_sql
 from panelforge.operators import clean, figures, validate
 from panelforge.operators import indicators as ind
 from panelforge.operators import panel as pan
 from panelforge.sources import adapters as ad
 from panelforge.sources import generate as gen
+from panelforge.sources.tables import SCHEMAS, from_lines, to_lines
 
 AS_OF = 2023
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +31,13 @@ _REGISTER = """register AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _GRID = """grid AS (
   SELECT c_custkey AS firm_id, CAST(m AS DATE) AS month FROM customer,
-  (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS m) AS t)"""
+  (SELECT unnest(generate_series(CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP), CAST(date_trunc('month', max(o_orderdate)) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM orders) AS t)"""
 
 
 def _employment(plus: int = 0) -> str:
     return f"""employment AS (
   SELECT firm_id, month, CASE WHEN (firm_id * 31 + k) % 37 = 0 THEN NULL ELSE CAST((firm_id * 7 + k * 5) % 30 + {plus} AS DOUBLE) END AS employees
-  FROM (SELECT firm_id, month, (year(month) - 1996) * 12 + month(month) AS k FROM grid) AS g)"""
+  FROM (SELECT firm_id, month, (year(month) - 1990) * 12 + month(month) AS k FROM grid) AS g)"""
 
 
 _TURNOVER = """turnover AS (
@@ -315,8 +318,8 @@ _REPORT = "\nUNION ALL\n".join(
 
 @_query(_with(_chain(), _REPORT))
 def validation_report(spark, d):
-    e, t = clean.clean_employment(ad.employment(spark, d)), clean.clean_turnover(ad.turnover(spark, d))
-    return _rounded(validate.report(ad.register(spark, d), e, t, _panel(spark, d)), detail=10)
+    report = validate.report(ad.register(spark, d), ad.employment(spark, d), ad.turnover(spark, d), _panel(spark, d), one_row_a_month=True)
+    return _rounded(report, detail=10)
 
 
 @_query(
@@ -417,22 +420,199 @@ def set_difference_nulls(spark, d):
     return na.set_difference(a, ad._read(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("k")), ["k"])
 
 
-# ---- generators, which another engine can't repeat -----------------------------------------------------------
+# ---- keys that repeat, text that is no value ----------------------------------------------------------------
 
+_TWICE = """e AS (SELECT c_custkey AS firm_id, DATE '1996-01-01' AS month, CAST(c_custkey % 30 AS DOUBLE) AS employees FROM customer),
+t AS (SELECT firm_id, month, turnover FROM (SELECT c_custkey AS firm_id, DATE '1996-01-01' AS month, unnest(range(c_custkey % 4)) AS k, c_acctbal AS b FROM customer) AS x, (SELECT 1) AS one(o), LATERAL (SELECT b + k AS turnover) AS y),
+r AS (SELECT firm_id - k AS firm_id, region_code, nace_code, employees, foundation_year, revenue_last_year FROM register, (VALUES (0), (1)) AS two(k) WHERE k = 0 OR firm_id % 5 = 0)"""
 
-@_query()
+
+@_query(
+    _with(
+        [_REGISTER, _TWICE],
+        "SELECT e.firm_id, e.month, e.employees AS employees_monthly, t.turnover AS turnover_monthly, r.region_code, r.nace_code, r.employees AS employees_firm, r.foundation_year, r.revenue_last_year "
+        "FROM e LEFT JOIN t ON e.firm_id = t.firm_id AND e.month = t.month LEFT JOIN r ON e.firm_id = r.firm_id",
+    )
+)
+def panel_duplicate_keys(spark, d):
+    """Monthly rows of no, one, two or three matches, and a register with repeated firms: all matches are kept."""
+    customer = ad._read(spark, d, "customer").select(F.col("c_custkey").alias("firm_id"), F.lit("1996-01-01").alias("month"), "c_acctbal")
+    e = customer.select("firm_id", "month", (F.col("firm_id") % 30).cast("double").alias("employees"))
+    times = F.when(F.col("firm_id") % 4 > 0, F.sequence(F.lit(0), (F.col("firm_id") % 4).cast("int") - 1))
+    t = customer.select("firm_id", F.col("month").cast("date").alias("month"), "c_acctbal", F.explode(times).alias("k")).select("firm_id", "month", (F.col("c_acctbal") + F.col("k")).alias("turnover"))
+    r = ad.register(spark, d)
+    moved = r.where("firm_id % 5 = 0").withColumn("firm_id", F.col("firm_id") - 1)
+    return pan.build_panel(e.withColumn("month", F.col("month").cast("date")), t, r.unionByName(moved))
+
+
+_BAD = """bad AS (
+  SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN '1996-02-31' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS month,
+         CASE o_orderkey % 7 WHEN 0 THEN 'NA' WHEN 1 THEN '12 persons' WHEN 2 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS employees FROM orders)"""
+
+
+@_query(_with([_BAD], "SELECT id, try_cast(month AS DATE) AS month, try_cast(employees AS DOUBLE) AS employees FROM bad"))
+def cast_bad_text(spark, d):
+    """Text that is no date or number is missing, not an error."""
+    k = F.col("o_orderkey")
+    month = F.when(k % 5 == 0, "n/a").when(k % 5 == 1, "1996-02-31").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    employees = F.when(k % 7 == 0, "NA").when(k % 7 == 1, "12 persons").when(k % 7 == 2, "").otherwise(F.col("o_custkey").cast("string"))
+    return ad._read(spark, d, "orders").select(k.alias("id"), na.as_date(month).alias("month"), na.as_number(employees).alias("employees"))
+
+
+# ---- generators: a firm for each customer, draws that the other engine repeats --------------------------------
+
+
+def _u(name: str, *keys: str) -> str:
+    return uniform_sql(gen.SEED, name, *keys)
+
+
+def _choice(u: str, values: list[str]) -> str:
+    return f"({values!r})[1 + CAST(floor({u} * {len(values)}) AS BIGINT)]"
+
+
+def _poisson(u: str, mean: float) -> str:
+    return f"len([c FOR c IN {[*poisson_table(mean)]!r} IF c < {u}])"
+
+
+def _log_normal(u: str, v: str, mean: float, deviation: float) -> str:
+    return f"exp({mean!r} + {deviation!r} * (sqrt(-2.0 * ln({u})) * cos({2 * math.pi!r} * {v})))"
+
+
+_FIRMS = f"""firms AS (
+  SELECT firm_id, {_choice(_u("region", "firm_id"), gen.REGIONS)} AS region_code, {_choice(_u("sector", "firm_id"), list(gen.SECTORS))} AS nace_code,
+         {_choice(_u("form", "firm_id"), gen.LEGAL_FORMS)} AS legal_form, CAST({_poisson(_u("size", "firm_id"), 25)} + 1 AS DOUBLE) AS employees,
+         CAST(floor({_u("founded", "firm_id")} * {2022 - 1965 + 1}) + 1965 AS INTEGER) AS foundation_year,
+         round({_log_normal(_u("revenue", "firm_id"), _u("revenue2", "firm_id"), 12, 1)}, 2) AS revenue_last_year
+  FROM (SELECT printf('F%05d', c_custkey) AS firm_id FROM customer) AS ids)"""
+_MONTHS = """firm_months AS (
+  SELECT firm_id, nace_code, region_code, CAST(m AS DATE) AS month FROM firms, (SELECT unnest(generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2023-12-01', INTERVAL 1 MONTH)) AS m) AS t)"""
+
+
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    return ad._read(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+
+
+@_query(
+    _with(
+        [_FIRMS],
+        f"SELECT firm_id, region_code, nace_code, legal_form, CASE WHEN {_u('no_size', 'firm_id')} >= 0.02 THEN employees END AS employees, foundation_year, "
+        f"CASE WHEN {_u('negative', 'firm_id')} < 0.02 THEN -revenue_last_year ELSE revenue_last_year END AS revenue_last_year FROM firms",
+    )
+)
 def gen_register(spark, d):
-    return gen.register(spark)
+    return gen.register_of(_numbers(spark, d))
 
 
-@_query()
+@_query(
+    _with(
+        [_FIRMS, _MONTHS, f"factors(code, m, factor) AS (VALUES {_FACTORS})"],
+        "SELECT firm_id, month, nace_code, region_code, CAST(m AS INTEGER) AS month_num, CAST(factor AS DOUBLE) AS seasonal_factor, "
+        f"CASE WHEN {_u('no_staff', 'firm_id', 'month')} >= 0.01 THEN round_even(greatest(1, {_poisson(_u('staff', 'firm_id', 'month'), 20)}) * CAST(factor AS DOUBLE), 0) END AS employees "
+        "FROM firm_months JOIN factors ON code = nace_code AND m = month(month)",
+    )
+)
 def gen_employment(spark, d):
-    return gen.employment(gen.register(spark, clean=True))
+    return gen.employment(gen.register_of(_numbers(spark, d), clean=True))
 
 
-@_query()
+@_query(
+    _with(
+        [_FIRMS, _MONTHS],
+        f"SELECT firm_id, month, nace_code, region_code, CASE WHEN {_u('no_sales', 'firm_id', 'month')} >= 0.01 "
+        f"THEN round({_log_normal(_u('sales', 'firm_id', 'month'), _u('sales2', 'firm_id', 'month'), 10.5, 0.8)}, 2) END AS turnover FROM firm_months",
+    )
+)
 def gen_turnover(spark, d):
-    return gen.turnover(gen.register(spark, clean=True))
+    return gen.turnover(gen.register_of(_numbers(spark, d), clean=True))
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+@_query(
+    f"SELECT 'region' AS kind, code, name FROM (VALUES {_values([(r, f'Region {k}') for k, r in enumerate(gen.REGIONS, 1)])}) AS r(code, name) "
+    f"UNION ALL SELECT 'sector', code, name FROM (VALUES {_values(list(gen.SECTORS.items()))}) AS s(code, name) "
+    f"UNION ALL SELECT 'form', code, CAST(NULL AS VARCHAR) FROM (VALUES {', '.join(f'({x!r})' for x in gen.LEGAL_FORMS)}) AS f(code)"
+)
+def literal_tables(spark, d):
+    parts = [
+        gen.regions(spark).select(F.lit("region").alias("kind"), F.col("region_code").alias("code"), F.col("region_name").alias("name")),
+        gen.sectors(spark).select(F.lit("sector").alias("kind"), F.col("nace_code").alias("code"), F.col("industry_name").alias("name")),
+        gen.legal_forms(spark).select(F.lit("form").alias("kind"), F.col("legal_form").alias("code"), F.lit(None).cast("string").alias("name")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---- CSV: each table as text and back ------------------------------------------------------------------------
+
+
+def _round_trip(df: DataFrame, schema: str | None = None) -> DataFrame:
+    return from_lines(to_lines(df), schema or ", ".join(f"{c} {t}" for c, t in df.dtypes))
+
+
+@_query(_SQL["gen_register"])
+def csv_round_trip_raw(spark, d):
+    return _round_trip(gen_register(spark, d), SCHEMAS["firms"])
+
+
+@_query(_SQL["interpolate_turnover"])
+def csv_round_trip_clean(spark, d):
+    return _round_trip(interpolate_turnover(spark, d))
+
+
+@_query(_SQL["derive_indicators_full"])
+def csv_round_trip_panel(spark, d):
+    """Infinite values come back as they were, NaN as null."""
+    return _round_trip(derive_indicators_full(spark, d))
+
+
+@_query(_SQL["indicators_sector_region_year"])
+def csv_round_trip_indicators(spark, d):
+    return _round_trip(indicators_sector_region_year(spark, d))
+
+
+# ---- order and labels ----------------------------------------------------------------------------------------
+
+_ORDERED = "\nUNION ALL\n".join(
+    f"SELECT '{g}' AS grain, CAST(row_number() OVER (ORDER BY {', '.join(f'{k} NULLS LAST' for k in ks)}) - 1 AS BIGINT) AS place, year, "
+    + ", ".join(k if k in ks else f"CAST(NULL AS VARCHAR) AS {k}" for k in ("nace_code", "region_code"))
+    + f", n_obs FROM ({_cells(ks)}) AS cells_{g}"
+    for g, ks in ind.GRAINS.items()
+)
+
+
+@_query(_with(_chain(1), _ORDERED))
+def sorted_cells(spark, d):
+    """The cells of each grain in the order in which they are written, with their places in it."""
+    panel = _panel(spark, d, 1)
+    parts = []
+    for grain, keys in ind.GRAINS.items():
+        rows = pan.sorted_rows(ind.indicators(panel, keys), *keys).coalesce(1).withColumn("place", F.monotonically_increasing_id())
+        codes = [F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("nace_code", "region_code")]
+        parts.append(rows.select(F.lit(grain).alias("grain"), "place", "year", *codes, "n_obs"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_ROLLED = "\nUNION ALL\n".join(
+    f"SELECT '{g}' AS grain, year, {k} AS code, n_obs, n_firms, total_turnover, total_employees FROM ({_cells(ind.GRAINS[g])}) AS cells_{g}" for g, k in (("sector", "nace_code"), ("region", "region_code"))
+)
+
+
+@_query(_with(_chain(1), _ROLLED))
+def cells_roll_up(spark, d):
+    """Coarse cells as sums of the fine ones are what they are when made from the panel."""
+    fine = ind.indicators(_panel(spark, d, 1), ind.GRAINS["sector_region"])
+    parts = [ind.roll_up(fine, ["year", k]).select(F.lit(g).alias("grain"), "year", F.col(k).alias("code"), "n_obs", "n_firms", "total_turnover", "total_employees") for g, k in (("sector", "nace_code"), ("region", "region_code"))]
+    return _rounded(parts[0].unionByName(parts[1]), total_turnover=2)
+
+
+_LABELS = ", ".join("(" + ", ".join(f"'{x}'" for x in (k, *v)) + ")" for k, v in figures.LABELS.items())
+
+
+@_query(_with(_chain(1), f"SELECT figure, replace(title, '{{year}}', (SELECT CAST(max(year(month)) AS VARCHAR) FROM panel)) AS title, x_label, y_label FROM (VALUES {_LABELS}) AS l(figure, title, x_label, y_label)"))
+def figure_labels(spark, d):
+    return figures.labels(ad.grid(spark, d))
 
 
 def queries() -> dict[str, Query]:

@@ -16,9 +16,14 @@ SCHEMAS = {
 }
 
 
+#: How cells are read and written, in files and in columns of text alike.
+READ = {"nullValue": "NA", "positiveInf": "Inf", "negativeInf": "-Inf"}
+WRITE = {"nullValue": "NA", "emptyValue": ""}
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV file with a header; empty cells and NA, quoted or not, are missing, Inf and NaN are doubles. Without a schema types are inferred."""
-    reader = spark.read.option("header", True).option("nullValue", "NA").option("positiveInf", "Inf").option("negativeInf", "-Inf")
+    reader = spark.read.option("header", True).options(**READ)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -31,8 +36,22 @@ def plain_number(c: str):
 
 def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
     """With a header, missing cells as NA. One file is for aggregates; large tables stay in parts."""
-    plain = df.select(*(plain_number(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-    (plain.coalesce(1) if one_file else plain).write.mode("overwrite").option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
+    plain = _plain(df)
+    (plain.coalesce(1) if one_file else plain).write.mode("overwrite").option("header", True).options(**WRITE).csv(path)
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select(*(plain_number(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def to_lines(df: DataFrame) -> DataFrame:
+    """(line): each row as a line of CSV, as ``write_csv`` puts it into a file."""
+    return _plain(df).select(F.to_csv(F.struct("*"), WRITE).alias("line"))
+
+
+def from_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """The rows of CSV lines, as ``read_csv`` reads them from a file."""
+    return lines.select(F.from_csv("line", schema, READ).alias("row")).select("row.*")
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from xml.etree import ElementTree
 
 import pytest
 from hypothesis import given, settings
@@ -153,5 +154,37 @@ def test_histogram(spark):
 
 
 def test_grid(spark):
-    got = month_grid(spark.createDataFrame([(1,), (1,), (2,)], "firm_id int"), "2023-01-01", "2023-12-01")
+    got = month_grid(spark.createDataFrame([(1,), (1,), (2,)], "firm_id int"), ("2023-01-01", "2023-12-01"))
     assert got.count() == 24 and got.agg(F.max("month")).first()[0] == dt.date(2023, 12, 1)
+
+
+def test_repeated_months_are_refused(spark):
+    e = spark.createDataFrame([(1, month(0), 1.0), (1, month(0), 2.0)], "firm_id int, month date, employees double")
+    t = spark.createDataFrame([(1, month(0), 5.0)], "firm_id int, month date, turnover double")
+    r = spark.createDataFrame([(1, "R1", "A", 5.0)], "firm_id int, region_code string, nace_code string, employees double")
+    assert build_panel(e, t, r).count() == 2
+    with pytest.raises(Exception, match="repeated firm and month: 12023"):
+        fused_panel(e, t, r).collect()
+
+
+def test_long_series_take_a_step_a_row(spark):
+    """The frames of imputation never run from a row to a series' end."""
+    df = series(spark, [1.0, None, 3.0])
+    assert "unboundedfollowing" not in clean.interpolate(df, "y")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_year_without_one_given_is_the_current_one(spark):
+    now = dt.date.today().year
+    df = spark.createDataFrame([(now,), (now + 2,)], "foundation_year int")
+    assert [r[0] for r in clean.plausible_year(df).collect()] == [now, None]
+
+
+def test_figure_shows_its_rows(tmp_path):
+    figures.write_svg(str(tmp_path / "a.svg"), "bar", [("a<", 1.0), ("b", 2.0), ("c", None)], "T & U", "x", "y")
+    root = ElementTree.parse(tmp_path / "a.svg").getroot()
+    heights = [float(x.get("height")) for x in root.iter("{http://www.w3.org/2000/svg}rect")]
+    texts = [x.text for x in root.iter("{http://www.w3.org/2000/svg}text")]
+    assert heights[1] == 2 * heights[0] > 0 == heights[2] and {"T & U", "x", "y", "a<", "b", "c"} <= set(texts)
+    figures.write_svg(str(tmp_path / "b.svg"), "line", [("a", 1.0), ("b", 4.0)], "t", "x", "y")
+    (line,) = ElementTree.parse(tmp_path / "b.svg").getroot().iter("{http://www.w3.org/2000/svg}polyline")
+    assert len(line.get("points").split()) == 2

@@ -12,7 +12,7 @@ from panelforge.operators import indicators as ind
 from panelforge.operators.panel import fused_panel
 from panelforge.plans import stages
 from panelforge.sources import generate as gen
-from panelforge.sources.tables import SCHEMAS, clean_names, read_csv, write_csv, write_parquet
+from panelforge.sources.tables import SCHEMAS, clean_names, from_lines, read_csv, to_lines, write_csv, write_parquet
 from panelforge.streaming.totals import monthly_totals
 
 
@@ -33,6 +33,21 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
+def test_types_are_inferred(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,n,x,d\na,1,1.5,2023-01-01\nb,NA,,NA\n")
+    df = read_csv(spark, str(tmp_path / "a.csv"))
+    assert df.dtypes == [("k", "string"), ("n", "int"), ("x", "double"), ("d", "date")] and df.where("n is null and x is null and d is null").count() == 1
+
+
+def test_lines_are_what_files_hold(spark, tmp_path):
+    df = spark.createDataFrame([('a "b", c', 2.5, None), ("", math.inf, 3), (None, 41664.0, -1)], "k string, x double, n int")
+    write_csv(df, str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("part-*.csv")
+    assert [r["line"] for r in to_lines(df.coalesce(1)).collect()] == part.read_text().splitlines()[1:]
+    files = read_csv(spark, str(tmp_path / "out"), "k string, x double, n int")
+    assert sorted(map(str, from_lines(to_lines(df), "k string, x double, n int").collect())) == sorted(map(str, files.collect()))
+
+
 def test_parquet_by_year(spark, tmp_path):
     df = spark.createDataFrame([(2022, 1), (2023, 2)], "year int, v int")
     write_parquet(df, str(tmp_path / "p"), ["year"])
