@@ -1,14 +1,15 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue, exact reranking.
 
-The trees are fitted on a bounded sample and sent to all tasks; every row is put into one leaf of each
-tree. A query walks all trees through one queue, nearest hyperplane first, until its leaves
-should hold ``candidates`` rows, and goes to these leaves, where its exact scores are computed. Leaves
-with many rows (copies of one vector, say) are dealt into cells of bounded size, and the query goes to all.
+The trees are fitted on a bounded sample and sent to all tasks; every row gets its leaf in each
+tree and is dealt out once. A query walks all trees through one queue, the leaves behind the nearest hyperplanes first,
+until they hold a share of the forest. The place of a row is the sum over all trees of
+the cost at which its leaf was reached (for leaves never reached, the cost at which the walk ended), and the rows with
+the least sums get exact scores: about ``candidates`` times the square root of all rows, at every size.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,26 +24,30 @@ from .common import prepare, ragged
 @dataclass(frozen=True)
 class Settings:
     """trees; sample: rows that the trees are fitted on, at most; leaf: sample rows in a leaf, at most;
-    share: part of all rows that a query's leaves should hold, and least: so many rows in any case (vectors without
-    near neighbours need a large share; closer ones a small one); cell: rows of a leaf in one cell, about."""
-
-    trees: int = 10
-    sample: int = 20_000
-    leaf: int = 160
-    share: float = 0.55
-    least: int = 2000
-    cell: int = 4096
+    share: part of the rows that the leaves reached in a tree hold, on average; candidates: rows scored for a query, in square roots
+    of all rows; cover: part of the sample's candidates that the cells visited hold; cell: rows of one cell, in square roots of all rows;
+    block: questions that one task puts to a cell, about."""
+
+    trees: int = 32
+    sample: int = 8192
+    leaf: int = 20
+    share: float = 0.8
+    candidates: float = 4.0
+    cover: float = 0.99
+    cell: float = 4.0
+    block: int = 65_536
     seed: int = 5
 
 
 @dataclass
 class Tree:
-    """Inner nodes: a unit normal, a threshold, two children; a child of -1 - k is leaf k. sizes: sample rows in each leaf."""
+    """Inner nodes: a unit normal, a threshold, two children; a child of -1 - k is leaf k. sizes: sample rows in each leaf. levels: inner nodes by depth."""
 
     normals: np.ndarray
     thresholds: np.ndarray
     children: np.ndarray
     sizes: np.ndarray
+    levels: list[np.ndarray]
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
@@ -55,12 +60,24 @@ class Tree:
             todo = todo[node[todo] >= 0]
         return -1 - node
 
+    def costs(self, q: np.ndarray) -> np.ndarray:
+        """(queries, leaves): the sum of the distances to the hyperplanes that lie between a query and a leaf."""
+        inner = len(self.normals)
+        cost = np.zeros((len(q), inner + len(self.sizes)))
+        margin = q @ self.normals.T - self.thresholds
+        place = np.where(self.children >= 0, self.children, inner - 1 - self.children)
+        for level in self.levels:
+            m = margin[:, level]
+            cost[:, place[level, 0]] = cost[:, level] + np.maximum(m, 0)
+            cost[:, place[level, 1]] = cost[:, level] + np.maximum(-m, 0)
+        return cost[:, inner:]
+
 
 def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator, tries: int = 3) -> Tree:
     """Splits at the median of a projection: of some random directions, the one along which the rows spread most."""
-    normals, thresholds, children, sizes = [], [], [], []
+    normals, thresholds, children, sizes, depths = [], [], [], [], []
 
-    def add(rows: np.ndarray) -> int:
+    def add(rows: np.ndarray, depth: int) -> int:
         if len(rows) <= leaf:
             sizes.append(len(rows))
             return -len(sizes)
@@ -76,32 +93,34 @@ def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator, tries: int = 3
         here = len(normals)
         normals.append(directions[best])
         thresholds.append(cut)
+        depths.append(depth)
         children.append([0, 0])
-        children[here] = [add(rows[~right]), add(rows[right])]
+        children[here] = [add(rows[~right], depth + 1), add(rows[right], depth + 1)]
         return here
 
-    add(np.arange(len(sample)))
-    return Tree(np.array(normals, np.float64).reshape(-1, sample.shape[1]), np.array(thresholds), np.array(children, np.int64).reshape(-1, 2), np.array(sizes, np.int64))
+    add(np.arange(len(sample)), 0)
+    deep = np.array(depths, np.int64)
+    levels = [np.flatnonzero(deep == d) for d in range(int(deep.max()) + 1)] if depths else []
+    return Tree(np.array(normals, np.float64).reshape(-1, sample.shape[1]), np.array(thresholds), np.array(children, np.int64).reshape(-1, 2), np.array(sizes, np.int64), levels)
 
 
-def probe(trees: list[Tree], shares: list[np.ndarray], q: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order in which one queue over all trees reaches them, until they hold the share ``wanted``.
+def walk(costs: list[np.ndarray], shares: list[np.ndarray], wanted: float) -> np.ndarray:
+    """For each query, the cost at which one queue over all trees' leaves has handed out the share ``wanted`` of the forest.
 
-    The queue orders by the sum of squared distances to the hyperplanes crossed. What leaves hold together is
-    counted as if trees were independent.
+    A cost never falls on the way down, so a queue of nodes would hand out leaves in the order of their costs;
+    sorting the leaves of all trees gives that order.
     """
-    margins = [t.normals @ q - t.thresholds for t in trees]
-    queue = [(0.0, k, 0 if len(t.normals) else -1) for k, t in enumerate(trees)]
-    out, held = [], np.zeros(len(trees))
-    while queue and 1 - np.prod(1 - held) < wanted:
-        crossed, k, node = heapq.heappop(queue)
-        while node >= 0:
-            m = float(margins[k][node])
-            near, far = (trees[k].children[node, int(m > 0)], trees[k].children[node, int(m <= 0)])
-            heapq.heappush(queue, (crossed + m * m, k, int(far)))
-            node = int(near)
-        out.append((k, -1 - node))
-        held[k] += float(shares[k][-1 - node])
+    cost, share = np.concatenate(costs, axis=1), np.concatenate(shares) / len(shares)
+    order = np.argsort(cost, axis=1, kind="stable")
+    last = (np.cumsum(share[order], axis=1) < wanted).sum(axis=1).clip(max=cost.shape[1] - 1)
+    return np.take_along_axis(cost, np.take_along_axis(order, last[:, None], axis=1), axis=1)[:, 0]
+
+
+def places(costs: list[np.ndarray], ends: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """(queries, rows): the sum over all trees of the costs of the rows' leaves, each at most the cost at which the walk ended."""
+    out = np.zeros((len(ends), len(leaves)), np.float32)
+    for t, cost in enumerate(costs):
+        out += np.minimum(cost, ends[:, None]).astype(np.float32)[:, leaves[:, t]]
     return out
 
 
@@ -120,12 +139,13 @@ def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(rows: DataFrame, every: int = 50, k: int = 5, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` nearest rows found, by cosine in double precision.
+    """(query_id, rank, vec_id, score, n_scored): each query's ``k`` nearest rows found, by cosine in double precision.
 
-    Queries are the rows whose id is divisible by ``every``; a query's own row is no candidate of it. Ties go to the
-    smaller id. Rows whose vector or id is null, whose vector is zero, holds a null or
+    Queries are the rows whose id is divisible by ``every``; a query's own id is no candidate of it. Ties go to the
+    smaller id. n_scored: how many rows got an exact score for the query. Rows whose vector or id is null, whose vector is zero, holds a null or
     non-finite component or hasn't the usual length take no part. An empty table gives no rows. Rows that
-    repeat an id and its vector count once.
+    repeat an id and its vector count once. An id with several vectors is as near as its nearest one, and as a query asks with each. Other
+    columns, however named, are pruned.
     """
     spark = rows.sparkSession
     prepare(spark)
@@ -139,121 +159,153 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, settings: Settings = S
     rng = np.random.default_rng(settings.seed)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     trees = [grow(unit, settings.leaf, rng) for _ in range(settings.trees)]
-    forest = spark.sparkContext.broadcast((trees, dim))  # bounded by the sample
+    known = np.stack([t.leaves(unit) for t in trees], axis=1).astype(np.int16)
+    forest = spark.sparkContext.broadcast((trees, known, dim))  # bounded by the sample
 
     def place(batches):
-        trees, dim = forest.value
+        trees, _, dim = forest.value
         for b in batches:
             x, at = _vectors(b.column(1), dim) if dim else (np.zeros((0, 1)), np.zeros(0, np.int64))
             if not len(at):
                 continue
-            ids = b.column(0).to_numpy()[at]
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            leaf = np.stack([t.leaves(unit) for t in trees], axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(leaf), _lists(x.astype(exact))], ["id", "leaf", "v"])
-
-    placed = own.mapInArrow(place, f"id long, leaf array<int>, v {kind}").dropDuplicates(["id", "leaf", "v"]).checkpoint()
-    counts = placed.select(F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = [np.zeros(len(t.sizes), np.int64) for t in trees]
-    for r in counts:
-        sizes[r["tree"]][r["leaf"]] = r["n"]
-    total = max(1, int(sizes[0].sum()))
-    wanted = min(1.0, max(settings.share, settings.least / total))
-    shares = [s / total for s in sizes]
-    cells = [-(-s // settings.cell) for s in sizes]
-    shared = spark.sparkContext.broadcast((shares, cells))
+            leaf = np.stack([t.leaves(unit) for t in trees], axis=1).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[at]), pa.array(leaf[:, 0], pa.int32()), _bytes(leaf), _lists(x.astype(exact))], ["id", "home", "leaf", "v"])
+
+    placed = own.dropDuplicates(["id", "v"]).mapInArrow(place, f"id long, home int, leaf binary, v {kind}").checkpoint()
+    size = np.zeros(len(trees[0].sizes), np.int64)
+    asking = 0
+    for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("asking")).collect():
+        size[r["home"]] = r["n"]
+        asking += r["asking"]
+    total = int(size.sum())
+    root = math.sqrt(max(1, total))
+    most = math.ceil(settings.cell * root)
+    # Neighbouring leaves of the first tree make a cell of about ``most`` rows; a leaf with more (copies of a vector, say) is dealt into several.
+    cell_of, parts_of = np.zeros(len(size), np.int64), []
+    held = 0
+    for leaf, n in enumerate(size.tolist()):
+        if leaf and held + n > most:
+            parts_of.append(max(1, -(-held // most)))
+            held = 0
+        cell_of[leaf] = len(parts_of)
+        held += n
+    parts_of = np.array([*parts_of, max(1, -(-held // most))])
+    first_of = np.append(0, np.cumsum(parts_of))
+    blocks = max(1, -(-asking // settings.block))
+    scored = min(1.0, max(settings.candidates / root, 20 / settings.sample))  # the sample can't tell a smaller share
+
+    def hashed(ids: np.ndarray, salt: int) -> np.ndarray:
+        return ((ids.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+    schema = f"cell long, asks boolean, id long, leaf binary, v {kind}, reached double, bound double"
+    names = ["cell", "asks", "id", "leaf", "v", "reached", "bound"]
 
     def deal(batches):
-        _, cells = shared.value
         for b in batches:
-            ids = b.column(0).to_numpy()
-            leaf = _matrix(b.column(1))
-            for t in range(leaf.shape[1]):
-                n = np.maximum(cells[t][leaf[:, t]], 1)
-                cell = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
-                yield pa.RecordBatch.from_arrays([pa.array(_key(t, leaf[:, t], cell)), pa.array(np.zeros(len(ids), bool)), b.column(0), b.column(2)], ["cell", "asks", "id", "v"])
+            ids, cell = b.column(0).to_numpy(), cell_of[b.column(1).to_numpy()]
+            key = (first_of[cell] + hashed(ids, 0) % parts_of[cell]) * blocks
+            none = pa.nulls(len(ids), pa.float64())
+            for block in range(blocks):
+                yield pa.RecordBatch.from_arrays([pa.array(key + block), pa.array(np.zeros(len(ids), bool)), b.column(0), b.column(2), b.column(3), none, none], names)
 
     def ask(batches):
-        trees, _ = forest.value
-        shares, cells = shared.value
+        trees, known, _ = forest.value
+        shares = [np.bincount(known[:, t], minlength=len(tree.sizes)) / max(1, len(known)) for t, tree in enumerate(trees)]
+        wanted = min(len(known), max(1, math.ceil(scored * len(known))))
         for b in batches:
-            x = _matrix(b.column(2)).astype(np.float64)
-            for k0 in range(0, len(x), 256):
-                to, row = [], []
-                for k in range(k0, min(k0 + 256, len(x))):
-                    q = x[k] / np.linalg.norm(x[k])
-                    for t, leaf in probe(trees, shares, q, wanted):
-                        for c in range(int(cells[t][leaf])):
-                            to.append(_key(t, leaf, c))
-                            row.append(k)
-                at = pa.array(np.array(row, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(to, np.int64)), pa.array(np.ones(len(to), bool)), b.column(0).take(at), b.column(2).take(at)], ["cell", "asks", "id", "v"])
-
-    schema = f"cell long, asks boolean, id long, v {kind}"
+            ids, x = b.column(0).to_numpy(), _matrix(b.column(3)).astype(np.float64)
+            for k0 in range(0, len(x), 64):
+                q = x[k0 : k0 + 64] / np.linalg.norm(x[k0 : k0 + 64], axis=1, keepdims=True)
+                costs = [t.costs(q) for t in trees]
+                reached = walk(costs, shares, settings.share)
+                near = places(costs, reached, known)
+                bound = np.partition(near, wanted - 1, axis=1)[:, wanted - 1].astype(np.float64)
+                row, key = [], []
+                for k in range(len(q)):
+                    inside = np.bincount(cell_of[known[near[k] <= bound[k], 0]], minlength=len(parts_of))
+                    order = np.argsort(-inside, kind="stable")
+                    n = int(np.searchsorted(np.cumsum(inside[order]), settings.cover * inside.sum())) + 1
+                    cells = np.concatenate([np.arange(first_of[c], first_of[c + 1]) for c in order[:n].tolist()])
+                    key.append(cells * blocks + int(hashed(ids[k0 + k : k0 + k + 1], 1)[0]) % blocks)
+                    row.append(np.full(len(cells), k))
+                at = np.concatenate(row)
+                take = pa.array(at + k0)
+                # Sums of costs may differ in their last bits from task to task.
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.ones(len(at), bool)), b.column(0).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(reached[at]), pa.array((bound + 1e-4 * (1 + bound))[at])], names)
+
     questions = placed.where(F.col("id") % every == 0).mapInArrow(ask, schema)
     both = placed.mapInArrow(deal, schema).unionByName(questions)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def answer(batches):
-        held: list[pa.Table] = []
+        """A cell's rows come before its questions; rows are held, questions pass by."""
+        trees, _, _ = forest.value
+        now, held, own = None, [], None
         for b in batches:
-            t = pa.Table.from_batches([b])
-            if not t.num_rows:
+            if not b.num_rows:
                 continue
-            cell = t["cell"].to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1]))
-            if cut or (held and held[-1]["cell"][-1].as_py() != cell[0]):
-                yield from _answers(pa.concat_tables([*held, t.slice(0, cut)]), k)
-                held = []
-            held.append(t.slice(cut))
-        if held:
-            yield from _answers(pa.concat_tables(held), k)
-
-    found = both.repartition(parts, "cell").sortWithinPartitions("cell", "asks").mapInArrow(answer, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+            cell, asks = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            heads = np.append(np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1]))), len(cell)).tolist()
+            for a, z in zip(heads[:-1], heads[1:], strict=True):
+                if cell[a] != now:
+                    now, held, own = cell[a], [], None
+                if not asks[a]:
+                    held.append(b.slice(a, z - a))
+                elif held:
+                    own = own or _cell(pa.Table.from_batches(held), len(trees))
+                    for k0 in range(a, z, 256):
+                        yield _answers(trees, *own, b.slice(k0, min(256, z - k0)), k)
+
+    found = both.repartition(parts, "cell").sortWithinPartitions("cell", "asks").mapInArrow(answer, "query_id long, vec_id long, score double, n_scored long")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("n_scored").alias("n_scored"))
+    query = Window.partitionBy("query_id")
+    ranked = best.withColumn("n_scored", F.sum("n_scored").over(query)).where("vec_id is not null")
+    order = query.orderBy(F.desc("score"), "vec_id")
+    return ranked.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score", "n_scored").where(F.col("rank") <= k)
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(x.ravel()))
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
 def _matrix(column: pa.ListArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _key(tree, leaf, cell):
-    return (np.int64(tree) << 54) + (np.int64(leaf) << 32 if np.isscalar(leaf) else leaf.astype(np.int64) << 32) + cell
-
-
-def _answers(t: pa.Table, k: int):
-    """The best ``k`` rows of each question in each cell; a cell's rows come before its questions."""
-    cell, asks, ids = (t[c].to_numpy() for c in ("cell", "asks", "id"))
-    if not asks.any():
-        return
+def _cell(t: pa.Table, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, leaves, vectors and their lengths of a cell's rows."""
     v = _matrix(t["v"]).astype(np.float64)
-    norm = np.sqrt((v * v).sum(axis=1))
-    heads = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-        m = a + int(np.searchsorted(asks[a:b], True))
-        if m == a or m == b:
+    leaf = np.frombuffer(b"".join(t["leaf"].to_pylist()), np.int16).reshape(-1, trees)
+    return t["id"].to_numpy(), leaf, v, np.sqrt((v * v).sum(axis=1))
+
+
+def _answers(trees: list[Tree], ids: np.ndarray, leaf: np.ndarray, v: np.ndarray, norm: np.ndarray, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """The best ``k`` ids of a cell for each question, and a row without id that tells how many rows were scored."""
+    asking, x = asked.column(2).to_numpy(), _matrix(asked.column(4)).astype(np.float64)
+    length = np.sqrt((x * x).sum(axis=1))
+    near = places([t.costs(x / length[:, None]) for t in trees], asked.column(5).to_numpy(), leaf) <= asked.column(6).to_numpy()[:, None]
+    query, vec, score, n = [], [], [], []
+    for j, q in enumerate(asking.tolist()):
+        at = np.flatnonzero(near[j])
+        at = at[ids[at] != q]
+        if not len(at):
             continue
-        rows, row_ids, row_norm = v[a:m], ids[a:m], norm[a:m]
-        for q0 in range(m, b, 512):
-            near = (v[q0 : min(q0 + 512, b)] @ rows.T) / row_norm / norm[q0 : min(q0 + 512, b), None]
-            for j in range(len(near)):
-                q = q0 + j
-                line = np.where(row_ids == ids[q], -np.inf, near[j])
-                if len(line) > k + 1:
-                    at = np.flatnonzero(line >= np.partition(line, -k)[-k] - 1e-9)  # ties and rounding
-                else:
-                    at = np.arange(len(line))
-                at = at[row_ids[at] != ids[q]]
-                score = (rows[at] * v[q]).sum(axis=1) / (row_norm[at] * norm[q])
-                best = np.lexsort((row_ids[at], -score))[:k]
-                out.append((np.full(len(best), ids[q]), row_ids[at][best], score[best]))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "vec_id", "score"])
+        own = (v[at] * x[j]).sum(axis=1) / (norm[at] * length[j])
+        order = np.lexsort((ids[at], -own))
+        _, once = np.unique(ids[at][order], return_index=True)  # of an id's vectors the nearest
+        best = order[np.sort(once)[:k]]
+        query.append(np.full(len(best) + 1, q))
+        vec.append(np.append(ids[at][best], 0))
+        score.append(np.append(own[best], np.nan))
+        n.append(np.append(np.zeros(len(best), np.int64), len(at)))
+    if not query:
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())], ["query_id", "vec_id", "score", "n_scored"])
+    total = np.concatenate(n)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(np.concatenate(vec), mask=total > 0), pa.array(np.concatenate(score), mask=total > 0), pa.array(total)], ["query_id", "vec_id", "score", "n_scored"])

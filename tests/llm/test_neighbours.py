@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import heapq
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from panelforge.llm import ann, simhash
 from panelforge.llm.graph import components
 
+DATA = Path("/root/testdata")
+
 
 def slow_print(text: str | None) -> int:
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
@@ -205,14 +209,65 @@ def search(spark, rows, **options):
     return found
 
 
-def test_recall(spark):
-    x = clusters(3000, 16, 4)
-    want = exact(np.arange(3000), x.astype(np.float64))
+@pytest.mark.parametrize(("n", "dim"), [(3000, 16), (700, 8)])
+def test_recall(spark, n, dim):
+    x = clusters(n, dim, 4)
+    want = exact(np.arange(n), x.astype(np.float64))
     got = search(spark, [(k, v.tolist(), 0) for k, v in enumerate(x)])
     hits = sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 5 * len(want) and all(len(v) == 5 for v in got.values())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+@pytest.mark.parametrize(("scale", "most"), [("sf0.01", 0.35), ("sf0.1", 0.2)])
+def test_recall_and_scored_rows_on_given_vectors(spark, scale, most):
+    """Vectors almost without near neighbours: the forest scores a small part of the rows and finds nine of ten."""
+    rows = spark.read.parquet(f"{DATA}/{scale}/embeddings.parquet")
+    t = rows.select("vec_id", "embedding").toArrow()
+    ids, x = t["vec_id"].to_numpy(), ann._matrix(t["embedding"]).astype(np.float64)
+    want = exact(ids, x)
+    got = ann.nearest(rows).collect()
+    found: dict[int, set] = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(found[q] & {a for a, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert np.mean(list({r["query_id"]: r["n_scored"] for r in got}.values())) <= most * len(ids)
+
+
+def test_queue_hands_out_leaves_by_cost():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 6))
+    tree = ann.grow(x, 10, rng)
+    q = rng.standard_normal((4, 6))
+    for j, cost in enumerate(tree.costs(q)):
+        queue, order = [(0.0, 0)], []
+        while queue:  # nodes, as a queue would walk them
+            c, node = heapq.heappop(queue)
+            if node < 0:
+                order.append((c, -1 - node))
+                continue
+            m = float(tree.normals[node] @ q[j] - tree.thresholds[node])
+            heapq.heappush(queue, (c + max(m, 0), int(tree.children[node, 0])))
+            heapq.heappush(queue, (c + max(-m, 0), int(tree.children[node, 1])))
+        assert [c for c, _ in order] == pytest.approx(sorted(cost)) and sorted(k for _, k in order) == list(range(len(tree.sizes)))
+        assert cost[tree.leaves(q)[j]] == 0
+
+
+def test_an_id_with_several_vectors_is_as_near_as_its_nearest(spark):
+    rows = [(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), (3, [1.0, 0.1], 0), (3, [-1.0, 0.0], 0), (4, [0.3, 1.0], 0), (5, [-1.0, -1.0], 0)]
+    got = search(spark, rows)[0]
+    assert [a for a, _ in got] == [3, 4, 5] and got[0][1] == pytest.approx(1 / 1.01**0.5) and got[1][1] == pytest.approx(1 / 1.09**0.5)
+
+
+def test_clashing_columns_and_questions_in_blocks(spark):
+    x = clusters(300, 8, 2)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for c in ("id", "v", "leaf", "home", "cell", "rank", "score", "query_id"):
+        df = df.withColumn(c, F.lit(1))
+    want = sorted(map(tuple, ann.nearest(df.select("vec_id", "embedding")).collect()))
+    assert sorted(map(tuple, ann.nearest(df, settings=ann.Settings(block=2)).collect())) == want and len(want) == 30
+
+
 def test_few_and_bad_vectors_and_ties(spark):
     rows = [(0, [1.0, 0.0], 0), (50, [0.0, 2.0], 0), (3, [1.0, 1.0], 0), (4, [2.0, 2.0], 0), (5, None, 0), (6, [0.0, 0.0], 0), (7, [None, 1.0], 0), (8, [float("nan"), 1.0], 0), (9, [float("inf"), 1.0], 0), (100, [0.0, 0.0], 0), (10, [1.0], 0), (None, [1.0, 0.0], 0), (4, [2.0, 2.0], 0)]
     got = search(spark, rows)
@@ -225,7 +280,7 @@ def test_few_and_bad_vectors_and_ties(spark):
 def test_copies_of_one_vector_are_dealt_into_cells(spark):
     x = clusters(400, 8, 1)
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(1000 + k, x[50].tolist(), 0) for k in range(900)]
-    got = search(spark, rows, settings=ann.Settings(cell=100, leaf=50))
+    got = search(spark, rows, settings=ann.Settings(cell=2, leaf=50))
     assert [a for a, _ in got[50]] == [1000, 1001, 1002, 1003, 1004]
     assert [a for a, _ in got[1000]] == [50, 1001, 1002, 1003, 1004]
 
