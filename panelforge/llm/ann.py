@@ -61,16 +61,16 @@ class Tree:
         return -1 - node
 
     def costs(self, q: np.ndarray) -> np.ndarray:
-        """(queries, leaves): the sum of the distances to the hyperplanes that lie between a query and a leaf."""
+        """(leaves, queries): the sum of the distances to the hyperplanes that lie between a query and a leaf."""
         inner = len(self.normals)
-        cost = np.zeros((len(q), inner + len(self.sizes)))
-        margin = q @ self.normals.T - self.thresholds
+        cost = np.zeros((inner + len(self.sizes), len(q)))
+        margin = self.normals @ q.T - self.thresholds[:, None]
         place = np.where(self.children >= 0, self.children, inner - 1 - self.children)
         for level in self.levels:
-            m = margin[:, level]
-            cost[:, place[level, 0]] = cost[:, level] + np.maximum(m, 0)
-            cost[:, place[level, 1]] = cost[:, level] + np.maximum(-m, 0)
-        return cost[:, inner:]
+            m, own = margin[level], cost[level]
+            cost[place[level, 0]] = own + np.maximum(m, 0)
+            cost[place[level, 1]] = own + np.maximum(-m, 0)
+        return cost[inner:]
 
 
 def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator, tries: int = 3) -> Tree:
@@ -110,17 +110,17 @@ def walk(costs: list[np.ndarray], shares: list[np.ndarray], wanted: float) -> np
     A cost never falls on the way down, so a queue of nodes would hand out leaves in the order of their costs;
     sorting the leaves of all trees gives that order.
     """
-    cost, share = np.concatenate(costs, axis=1), np.concatenate(shares) / len(shares)
-    order = np.argsort(cost, axis=1, kind="stable")
+    cost, share = np.concatenate(costs).T, np.concatenate(shares) / len(shares)
+    order = np.argsort(cost, axis=1)
     last = (np.cumsum(share[order], axis=1) < wanted).sum(axis=1).clip(max=cost.shape[1] - 1)
     return np.take_along_axis(cost, np.take_along_axis(order, last[:, None], axis=1), axis=1)[:, 0]
 
 
 def places(costs: list[np.ndarray], ends: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    """(queries, rows): the sum over all trees of the costs of the rows' leaves, each at most the cost at which the walk ended."""
-    out = np.zeros((len(ends), len(leaves)), np.float32)
+    """(rows, queries): the sum over all trees of the costs of the rows' leaves, each at most the cost at which the walk ended."""
+    out = np.zeros((len(leaves), len(ends)), np.float32)
     for t, cost in enumerate(costs):
-        out += np.minimum(cost, ends[:, None]).astype(np.float32)[:, leaves[:, t]]
+        out += np.minimum(cost, ends).astype(np.float32).take(leaves[:, t], axis=0)
     return out
 
 
@@ -220,10 +220,10 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, settings: Settings = S
                 costs = [t.costs(q) for t in trees]
                 reached = walk(costs, shares, settings.share)
                 near = places(costs, reached, known)
-                bound = np.partition(near, wanted - 1, axis=1)[:, wanted - 1].astype(np.float64)
+                bound = np.partition(near.T, wanted - 1, axis=1)[:, wanted - 1].astype(np.float64)
                 row, key = [], []
                 for k in range(len(q)):
-                    inside = np.bincount(cell_of[known[near[k] <= bound[k], 0]], minlength=len(parts_of))
+                    inside = np.bincount(cell_of[known[near[:, k] <= bound[k], 0]], minlength=len(parts_of))
                     order = np.argsort(-inside, kind="stable")
                     n = int(np.searchsorted(np.cumsum(inside[order]), settings.cover * inside.sum())) + 1
                     cells = np.concatenate([np.arange(first_of[c], first_of[c + 1]) for c in order[:n].tolist()])
@@ -290,10 +290,10 @@ def _answers(trees: list[Tree], ids: np.ndarray, leaf: np.ndarray, v: np.ndarray
     """The best ``k`` ids of a cell for each question, and a row without id that tells how many rows were scored."""
     asking, x = asked.column(2).to_numpy(), _matrix(asked.column(4)).astype(np.float64)
     length = np.sqrt((x * x).sum(axis=1))
-    near = places([t.costs(x / length[:, None]) for t in trees], asked.column(5).to_numpy(), leaf) <= asked.column(6).to_numpy()[:, None]
+    near = places([t.costs(x / length[:, None]) for t in trees], asked.column(5).to_numpy(), leaf) <= asked.column(6).to_numpy()
     query, vec, score, n = [], [], [], []
     for j, q in enumerate(asking.tolist()):
-        at = np.flatnonzero(near[j])
+        at = np.flatnonzero(near[:, j])
         at = at[ids[at] != q]
         if not len(at):
             continue

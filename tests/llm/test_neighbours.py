@@ -239,7 +239,7 @@ def test_queue_hands_out_leaves_by_cost():
     x = rng.standard_normal((300, 6))
     tree = ann.grow(x, 10, rng)
     q = rng.standard_normal((4, 6))
-    for j, cost in enumerate(tree.costs(q)):
+    for j, cost in enumerate(tree.costs(q).T):
         queue, order = [(0.0, 0)], []
         while queue:  # nodes, as a queue would walk them
             c, node = heapq.heappop(queue)
