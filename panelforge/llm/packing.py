@@ -24,14 +24,22 @@ from .common import chunks, prepare, spread, texts_of
 
 @dataclass(frozen=True)
 class Capacities:
-    """What one sequence holds at most: tokens, documents, and the sum of squared lengths (attention cost)."""
+    """What one sequence holds at most: tokens, documents, and the sum of squared lengths (attention cost).
+
+    Documents and attention can bind only where they are less than ``tokens`` pieces of one token and the square of
+    ``tokens``, as in ``TIGHT``.
+    """
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
 
 
-def plan(counts: dict[int, int], limits: Capacities, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), rule: str = "norm") -> np.ndarray:
+#: Long sequences of pieces of at most 1024 tokens, of few documents and of bounded attention cost: each of the three can bind.
+TIGHT = Capacities(4096, 16, 3 * 1024 * 1024)
+
+
+def plan(counts: dict[int, int], limits: Capacities, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> np.ndarray:
     """Rows (length, first rank, number of pieces, first bin, pieces in each bin, offset), by length and rank.
 
     Lengths go from the longest down. Each takes the open bins that score best among those with room
@@ -123,15 +131,15 @@ def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     return numbered.join(base, keys).withColumn("rank", F.col("base") + F.col("own")).drop("bucket", "base", "own")
 
 
-def best_fit(docs: DataFrame, path: str, end_id: int = 2, limits: Capacities = Capacities(), rule: str = "norm", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit(docs: DataFrame, path: str, end_id: int = 2, limits: Capacities = Capacities(), rule: str = "norm", longest: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
-    Sequences hold at most what ``limits`` say and have no gaps. Null or empty texts are one piece of one
+    Documents of more than ``longest`` tokens (a whole sequence, if not given) are cut. Sequences hold at most what ``limits`` say and have no gaps. Null or empty texts are one piece of one
     token; a very long text is cut into many pieces; repeated rows are packed each. An empty table gives
     no rows. The histogram of lengths (``limits.tokens`` rows at most) is all that the driver collects.
     """
     prepare(docs.sparkSession)
-    pieces = pieces_of(docs, path, end_id, limits.tokens, id_col, text_col).checkpoint()
+    pieces = pieces_of(docs, path, end_id, longest or limits.tokens, id_col, text_col).checkpoint()
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = plan(counts, limits, rule=rule)
     stride = 1 << 44

@@ -29,13 +29,25 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def patterns_of(host: Column, path: Column) -> Column:
-    """All patterns that cover a URL: the host and the domains above it but the last label, the host's folders, the whole path."""
-    labels = F.split(host, r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    steps = F.split(path, "/")  # the first is empty
-    folders = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.concat(host, F.array_join(F.slice(steps, 1, k), "/"), F.lit("/")))
-    return F.array_distinct(F.concat(above, folders, F.array(F.concat(host, path))))
+def patterns_of(host: Column, path: Column, sizes: Column) -> Column:
+    """The patterns of a listed length that cover a URL: the host and the domains above it but the last label, the host's folders, the whole path.
+
+    sizes: the lengths of listed domains (``domains``) and of listed folders and paths (``paths``). A long URL is cut at listed lengths only, so
+    what is made from it is bounded by the list.
+    """
+    whole, n = F.concat(host, path), F.length(host)
+    full = n + F.length(path)
+    above = F.transform(F.filter(sizes["domains"], lambda k: (k < n) & (F.substring(host, n - k, F.lit(1)) == ".")), lambda k: F.right(host, k))
+    domains = F.concat(F.array(host), F.filter(above, lambda d: F.contains(d, F.lit("."))))
+    folders = F.filter(sizes["paths"], lambda k: (k > n) & (k < full) & (F.substring(whole, k, F.lit(1)) == "/"))
+    return F.concat(domains, F.transform(folders, lambda k: F.left(whole, k)), F.array(whole))
+
+
+def listed_sizes(entries: DataFrame) -> DataFrame:
+    """One row of two arrays: the distinct lengths of listed domains, and of listed folders and paths."""
+    path = F.contains("pattern", F.lit("/"))
+    n = F.length("pattern")
+    return entries.agg(F.struct(F.collect_set(F.when(~path, n)).alias("domains"), F.collect_set(F.when(path, n)).alias("paths")).alias("sizes"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -59,18 +71,21 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page
 
     The longest pattern active at fetch time decides (of equally long ones the last in the alphabet); without one the
     action is ``none``. An entry is active from its day on, up to the day before the next one of its pattern. A null or empty URL
-    or a null time matches nothing. Repeated captures give repeated rows; an empty list gives ``none`` throughout.
+    or a null time matches nothing. Repeated captures give repeated rows; an empty list gives ``none`` throughout, an empty table of
+    captures no rows. Other columns, however named, are pruned. A URL's length costs no more than reading it.
     Intervals are dealt over the months they touch up to the last capture's, so a host with a third of
     all captures is met in as many parts as there are months, and further split where it is skewed.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     own = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("date").alias("day"), host.alias("host"), path.alias("path"))
     month = lambda c: F.year(c) * 12 + F.month(c)
-    patterns = F.when((F.col("host") != "") & F.col("day").isNotNull(), patterns_of(F.col("host"), F.col("path")))
-    asked = own.groupBy("id", "url", "day", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
-    asked = asked.withColumn("pattern", F.explode_outer(patterns)).withColumn("month", month(F.col("day")))
+    spans = intervals(entries)
+    sizes = listed_sizes(spans)  # one row, of as many numbers as patterns have lengths
+    patterns = F.when((F.col("host") != "") & F.col("day").isNotNull(), F.array_distinct(patterns_of(F.col("host"), F.col("path"), F.col("sizes"))))
+    asked = own.groupBy("id", "url", "day", "host", "path").agg(F.count(F.lit(1)).alias("copies")).crossJoin(F.broadcast(sizes))
+    asked = asked.withColumn("pattern", F.explode_outer(patterns)).drop("sizes", "path").withColumn("month", month(F.col("day")))
     last = captures.agg(F.max(F.col(time_col).cast("date")).alias("last"))  # one row
-    spans = intervals(entries).crossJoin(F.broadcast(last)).where("listed_on <= last")
+    spans = spans.crossJoin(F.broadcast(last)).where("listed_on <= last")
     ends = F.least(F.coalesce(F.date_sub("until", 1), F.col("last")), F.col("last"))
     spans = spans.select("pattern", "listed_on", "until", "action", F.explode(F.sequence(month(F.col("listed_on")), F.greatest(month(F.col("listed_on")), month(ends)))).alias("month"))
     a, s = asked.alias("a"), spans.alias("s")

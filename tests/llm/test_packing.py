@@ -34,6 +34,20 @@ def test_plan_holds_all_capacities(counts, documents, attention, rule):
         assert sum(n for _, n in items) <= 32 and len(items) <= documents and sum(n * n for _, n in items) <= limits.attention
 
 
+def test_each_capacity_can_bind():
+    rng = np.random.default_rng(2)
+    counts: dict[int, int] = {}
+    for n in [*rng.integers(1, 60, 400).tolist(), *rng.integers(900, 1025, 200).tolist()]:
+        counts[n] = counts.get(n, 0) + 1
+    limits = packing.TIGHT
+    bins = bins_of(packing.plan(counts, limits)).values()
+    documents, attention = [len(b) for b in bins], [sum(n * n for _, n in b) for b in bins]
+    assert max(documents) == limits.documents and max(attention) > 0.9 * limits.attention
+    least = max(-(-sum(n * k for n, k in counts.items()) // limits.tokens), -(-sum(counts.values()) // limits.documents), -(-sum(n * n * k for n, k in counts.items()) // limits.attention))
+    alone = bins_of(packing.plan(counts, packing.Capacities(limits.tokens, 10**6, 10**12)))
+    assert len(alone) < least <= len(bins) <= least + 12  # tokens alone would need fewer
+
+
 def slow_best_fit(lengths, size):
     room: list[int] = []
     for n in sorted(lengths, reverse=True):

@@ -113,6 +113,19 @@ def test_filter_keeps_the_case_of_paths(spark):
     assert got == {0: "a.example.com/Docs/Page.HTML", 1: "b.org/Docs/", 2: "c.org", 3: None}
 
 
+def test_filter_takes_very_long_urls_and_one_host(spark):
+    """100 KB of folders, of one segment, of labels; and all captures of one host in one month."""
+    day = dt.date(2024, 1, 3)
+    deep, wide, labels = "a.org" + "/ab" * 34_000, "a.org/" + "x" * 100_000, "c" + ".c" * 50_000 + ".net"
+    listed = [("a.org/ab/ab/", "allow"), ("c.net", "block"), (deep[:3005] + "/", "block"), (wide, "block")]
+    e = spark.createDataFrame([(p, day, a) for p, a in listed], "pattern string, listed_on date, action string")
+    rows = [(0, deep, day), (1, wide, day), (2, labels, day), (3, "a.org/ab/", day)] + [(k, f"http://a.org/ab/ab/{k}", day + dt.timedelta(k % 20)) for k in range(10, 3000)]
+    c = spark.createDataFrame(rows, "page_id long, url string, fetched_on date")
+    got = {r["page_id"]: r["pattern"] for r in url_filter.temporal_filter(c, e).collect()}
+    assert len(got) == len(rows) and (got[0], got[1], got[2], got[3]) == (deep[:3005] + "/", wide, "c.net", None)
+    assert all(got[k] == "a.org/ab/ab/" for k in range(10, 3000))
+
+
 def test_filter_runs_no_python(spark):
     e = spark.createDataFrame([("b.org", dt.date(2024, 1, 1), "block")], "pattern string, listed_on date, action string")
     c = spark.createDataFrame([(1, "b.org", dt.date(2024, 1, 1))], "page_id long, url string, fetched_on date")
