@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from panelforge.llm import licenses, quality, url_filter
 
 
+DATA = Path("/root/testdata/sf0.01")
+
+
 def slow_matches(text: str, name: str):
     """Best common subsequences of a template with any stretch of a text's words, without a band."""
     words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text.encode())]
@@ -47,6 +51,45 @@ def test_matches_against_whole_alignment(spark, text, name):
     assert got[0]["coverage"] == matched / size >= 0.8
 
 
+@pytest.mark.parametrize("more", [6, 10, 20, 60])
+def test_words_put_into_a_notice(spark, more):
+    words = licenses.TEMPLATES["MIT-grant"].split()
+    extra = [f"e{k}" for k in range(more)]
+    text = " ".join(["x"] * 30 + words[:40] + extra + words[40:] + ["y"] * 30)
+    shorter = " ".join(words[:40] + words[46:])
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, shorter)], "doc_id long, text string")).where("license = 'MIT-grant'").orderBy("doc_id").collect()
+    n = len(re.findall(r"[0-9A-Za-z]+", licenses.TEMPLATES["MIT-grant"]))
+    assert got[0]["matched_words"] == n == got[0]["template_words"] and text[got[0]["first_byte"] :].startswith("Permission") and text[: got[0]["last_byte"]].endswith("Software")
+    assert n - 14 <= got[1]["matched_words"] < n
+
+
+def test_rivals_and_versions(spark):
+    t = licenses.TEMPLATES
+    texts = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the Apache License, Version 1.0.", t["GPL-2.0-header"], t["LGPL-2.1-header"], t["AGPL-3.0-header"], t["ISC"], t["BSD-3-Clause"], t["CC-BY-SA-4.0"]]
+    got: dict[int, set] = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {0: {"GPL-2.0"}, 2: {"GPL-2.0-header"}, 3: {"LGPL-2.1-header"}, 4: {"AGPL-3.0-header"}, 5: {"ISC"}, 6: {"BSD-3-Clause", "BSD-2-Clause-conditions"}, 7: {"CC-BY-SA-4.0"}}
+
+
+def test_each_template_is_found_whole(spark):
+    rows = list(enumerate(licenses.TEMPLATES.values()))
+    got = {(r["doc_id"], r["license"]): r["coverage"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows) >= 25 and all(got[k, name] == 1 for k, name in enumerate(licenses.TEMPLATES))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+def test_notices_of_the_documents_are_all_found(spark):
+    """Wherever all words of a template stand in a row, a match covers them: recall against a search of every place."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    got: dict[tuple, list] = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault((r["doc_id"], r["license"]), []).append((r["first_byte"], r["last_byte"]))
+    plain = {name: re.compile(rb"(?<![0-9A-Za-z\x80-\xff])" + rb"[^0-9A-Za-z\x80-\xff]+".join(map(re.escape, re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode()))) + rb"(?![0-9A-Za-z\x80-\xff])", re.IGNORECASE) for name, t in licenses.TEMPLATES.items()}
+    planted = [(r["doc_id"], name, m.span()) for r in docs.collect() for name, p in plain.items() for m in p.finditer((r["text"] or "").encode())]
+    assert len(planted) > 5 and all(span in got.get((d, name), []) for d, name, span in planted)
+
+
 def test_no_false_match_and_two_matches(spark):
     rows = [(1, "released by the license of MIT"), (2, "Released under the MIT License. " * 2), (3, "rights all reserved"), (2, "Released under the MIT License. " * 2)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
