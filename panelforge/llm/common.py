@@ -20,11 +20,17 @@ ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, set a checkpoint folder if none is, ship this code if workers lack it."""
+    """Bound Arrow batches, take the checkpoint folder of the session, ship this code if workers lack it.
+
+    Without a folder a cluster is refused; on one machine a temporary one serves.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith(("local[", "local-cluster")) and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     root = Path(__file__).resolve().parents[2]
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(root) not in on_path and not getattr(sc, "_llm_shipped", False):
@@ -44,9 +50,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out anew only where the scan has fewer partitions than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out anew only where files would be read by fewer tasks than the cluster has cores.
+
+    Told from the files' sizes, so nothing is planned or run for it.
+    """
+    spark, size = df.sparkSession, stored_bytes(df)
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size is None or size >= cores * split else df.repartition(cores)
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """The size of the files behind a table, as the planner knows it; None where it doesn't know it."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return None if any(x >= 1 << 62 for x in sizes) else sum(sizes)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,9 @@
-"""An FM-index over word codes: rank directories in a wavelet matrix, backward search for many patterns at once."""
+"""A compressed FM-index over word codes: a wavelet matrix of the transformed text, backward search for many patterns at once.
+
+What stays after construction: a bit for each symbol and level, a count of 32 bits for every 64 of them, and for each
+suffix its document, in the least integers that hold their number. Documents stand in place of sampled suffix
+positions, since matches are reported by document; the text, the ranks and the suffix array are given up.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +47,7 @@ class WaveletMatrix:
             padded[: len(packed)] = packed
             words = padded.view("<u8")
             self.words.append(words)
-            self.ones.append(np.append(0, np.cumsum(np.bitwise_count(words), dtype=np.int64))[:-1])
+            self.ones.append((np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)).astype(np.uint32))
             self.zeros.append(n - int(bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
         self.now = now
@@ -51,21 +56,26 @@ class WaveletMatrix:
         """Ones before each place of a level."""
         word = at >> 6
         below = self.words[level][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        return self.ones[level][word] + np.bitwise_count(below)
+        return self.ones[level][word].astype(np.int64) + np.bitwise_count(below)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.words, *self.ones))
 
 
 class FMIndex:
-    """Counts and finds patterns of at most ``depth`` symbols.
+    """Counts patterns of at most ``depth`` symbols and finds the least document of those that have one.
 
     Suffixes are sorted by their first ``depth`` symbols only; the steps of a backward search for such a
-    pattern look no further. Symbol 0 separates texts and is in no pattern.
+    pattern look no further. Symbol 0 separates texts and is in no pattern. documents: of each place of the text.
     """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, documents: np.ndarray | None = None):
+        if len(text) >= 1 << 32:
+            raise ValueError("an index holds fewer than 2**32 symbols")
         self.depth = depth
-        self.rank = bounded_ranks(text, depth)
-        self.suffixes = np.argsort(self.rank, kind="stable")
-        bwt = text[self.suffixes - 1]  # place -1 is the last symbol, a separator
+        suffixes = np.argsort(bounded_ranks(text, depth), kind="stable")
+        bwt = text[suffixes - 1]  # place -1 is the last symbol, a separator
         self.counts = np.append(0, np.cumsum(np.bincount(text)))
         self.matrix = WaveletMatrix(bwt)
         last = self.matrix.now  # the symbols after the last level, equal ones together
@@ -73,6 +83,19 @@ class FMIndex:
         self.base = np.zeros(len(self.counts) - 1, np.int64)
         self.base[last[heads]] = heads
         del self.matrix.now
+        self.names, own = np.unique(np.arange(len(text)) if documents is None else documents, return_inverse=True)
+        # One more at the end, larger than all: intervals may end there.
+        self.documents = np.append(own[suffixes], len(self.names)).astype(np.min_scalar_type(len(self.names)))
+
+    @property
+    def nbytes(self) -> int:
+        return self.matrix.nbytes + self.documents.nbytes + self.names.nbytes + self.counts.nbytes + self.base.nbytes
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least document of each interval of suffixes, none of which is empty."""
+        if not len(low):
+            return np.zeros(0, self.names.dtype)
+        return self.names[np.minimum.reduceat(self.documents, np.stack([low, high], axis=1).ravel())[::2]]
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix intervals of the patterns with one more symbol in front."""

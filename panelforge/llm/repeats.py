@@ -3,9 +3,9 @@
 Every window of ``span`` words has a minimizer, the least hash of its runs of ``seed`` words. Runs of
 windows with one minimizer are cut out as segments (about 16 words) and go to the shard that their
 minimizer names, so all occurrences of a window meet in one shard however many there are, and each
-shard indexes its own segments only. There a backward search over the wavelet matrix streams the
-windows of all segments, computes how far each matches, and reports the smallest document of those
-that match over the whole span. Texts travel as compressed chunks; a chunk sends each
+shard indexes its own segments only. The documents' segments are then streamed, block by block, through a backward
+search over the wavelet matrix, which computes their matching statistics; intervals that match over the whole span are reported
+with the smallest document that has them. Texts travel as compressed chunks; a chunk sends each
 distinct segment once, so copies and passages that many documents share don't crowd a shard.
 """
 
@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, prepare, ragged, spread, texts_of
+from .common import offsets, prepare, ragged, spread, stored_bytes, texts_of
 from .fm_index import FMIndex
 from .slices import factorize
 
 CHUNK = 4 << 20
+#: Bytes of the stored table for each shard, at most, and windows searched at a time.
+SHARD, BLOCK = 32 << 20, 1 << 17
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -160,8 +162,12 @@ def cut(ids: np.ndarray, texts: list[bytes], span: int, seed: int) -> Chunk:
     return Chunk(ids, text, at, first, code, start, doc[start], count[origin], start[origin], least[start[origin]])
 
 
-def pack_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, blob): rows in compressed chunks of about CHUNK bytes of text, or of one longer text."""
+def pack_chunks(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """(chunk, blob): rows in compressed chunks of about ``limit`` bytes of text, or of one longer text.
+
+    Chunks are numbered by task. Rows are sorted in each task before they are cut, so a chunk that is lost is cut alike
+    again, in whatever order its rows arrive.
+    """
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -180,7 +186,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lengths = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text_col))), 0).to_numpy()
             at = 0
             for k, n in enumerate(lengths.tolist()):
-                if size and size + n > CHUNK:
+                if size and size + n > limit:
                     if k > at:
                         held.append(b.slice(at, k - at))
                     yield row()
@@ -191,7 +197,8 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield row()
 
-    return spread(docs).mapInArrow(run, "chunk long, blob binary")
+    dealt = spread(docs)
+    return dealt.sortWithinPartitions(F.col(id_col), F.xxhash64(*map(F.col, dealt.columns))).mapInArrow(run, "chunk long, blob binary")
 
 
 def open_chunk(blob: bytes, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, list[bytes]]:
@@ -226,29 +233,38 @@ def shard_windows(minimizer: np.ndarray, doc: np.ndarray, many: np.ndarray, wind
     place = offsets(own + 1)[:-1]
     indexed = np.zeros(int(own.sum()) + len(own), np.int64)
     inside = ragged(np.arange(len(indexed)), place, own)
-    indexed[inside] = ragged(symbols, head[first], own) + 1
-    owner = np.repeat(np.arange(len(own)), own + 1)
-    index = FMIndex(indexed, span)
-    begin = ragged(np.arange(len(indexed)), place, windows[kept][first])
-    _, one = np.unique(index.rank[begin], return_index=True)  # equal windows are searched once
-    matched, low, high = index.matching(indexed, begin[one])
-    found = least[owner[begin[one]]]
-    hit = np.flatnonzero(matched == span)
-    if len(hit):
-        by_suffix = least[owner[index.suffixes]]
-        edges = np.stack([low[hit], high[hit]], axis=1).ravel()
-        by_suffix = np.append(by_suffix, _NO_DOC)
-        found[hit] = np.minimum.reduceat(by_suffix, edges)[::2]
-    smallest = np.empty(len(indexed), np.int64)
-    of_rank = np.empty(int(index.rank.max()) + 1, np.int64)
-    of_rank[index.rank[begin[one]]] = found
-    smallest[begin] = of_rank[index.rank[begin]]
+    streamed = ragged(symbols, head[first], own) + 1
+    indexed[inside] = streamed
+    index = FMIndex(indexed, span, np.repeat(least, own + 1))
+    del indexed, inside, symbols
+    # The segments are streamed through it.
+    n = windows[kept][first]
+    at, done = offsets(own), offsets(n)
+    smallest = np.repeat(least, n)
+    told_of = np.full(index.matrix.size, -1, np.int64)  # what an interval's first suffix has been found to be
+    for a, z in _blocks(done, BLOCK):
+        starts = ragged(np.arange(int(at[z] - at[a])), at[a:z] - at[a], n[a:z])
+        matched, low, high = index.matching(streamed[at[a] : at[z]], starts)
+        hit = np.flatnonzero(matched == span)
+        fresh, one = np.unique(low[hit], return_index=True)
+        one = one[told_of[fresh] < 0]
+        told_of[low[hit[one]]] = np.searchsorted(index.names, index.least(low[hit[one]], high[hit[one]]))
+        smallest[done[a] : done[z]][hit] = index.names[told_of[low[hit]]]
     each = windows[kept]
-    answer = ragged(smallest, place[code], each)
+    answer = ragged(smallest, done[code], each)
     told = many[kept] | (np.minimum.reduceat(answer, offsets(each)[:-1]) < doc[kept])
     return kept[told], each[told], answer[np.repeat(told, each)]
 
 
+def _blocks(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items that hold at most ``limit`` together, or one that holds more; ends: running sums."""
+    a = 0
+    while a < len(ends) - 1:
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, "right")) - 1)
+        yield a, z
+        a = z
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[dict]]]:
     """Rows with equal keys, which come one after the other."""
     now, rows = None, []
@@ -268,7 +284,7 @@ def removed_words(chunk: Chunk, replies: list[bytes], span: int) -> np.ndarray:
     """Whether each word is covered by a window that also starts in a smaller document."""
     covered = np.zeros(len(chunk.at), np.int64)
     if replies:
-        parts = [unpack(r, np.int32, np.int8, np.int64) for r in replies]
+        parts = [unpack(r, np.int32, np.int16, np.int64) for r in replies]
         code, count, small = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
         where = np.full(len(chunk.windows), -1)
         where[code] = np.arange(len(code))
@@ -295,10 +311,14 @@ def kept_texts(chunk: Chunk, removed: np.ndarray) -> list[bytes]:
 
 def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str, finish, schema) -> DataFrame:
     """Runs the shards and applies ``finish(rows, chunk, texts, removed)`` to every chunk."""
+    if not seed <= span < 1 << 15:
+        raise ValueError(f"windows have from {seed} to {(1 << 15) - 1} words")
     prepare(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # One shuffle of the chunks serves both readers below. Chunks are numbered by scan task, so a lost one is cut alike again.
-    packed = pack_chunks(docs, id_col, text_col).repartition(parts, "chunk")
+    # A task has several shards where the table is large, one after the other.
+    shards = max(parts, -(-(stored_bytes(docs) or 0) // SHARD))
+    # One shuffle of the chunks serves both readers below.
+    packed = pack_chunks(docs, id_col, text_col, CHUNK).repartition(parts, "chunk")
 
     def send(batches):
         for b in batches:
@@ -310,20 +330,20 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
                 many = np.bincount(c.code, minlength=len(c.windows)) > 1
                 small = np.full(len(c.windows), _NO_DOC)
                 np.minimum.at(small, c.code, ids[c.doc])
-                target = (c.minimizer & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                target = (c.minimizer & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
                 brief = (c.minimizer >> np.uint64(32)).astype(np.uint32)  # tells minimizers of a shard apart but for a few
                 order = np.argsort(target, kind="stable")
-                bounds = np.searchsorted(target[order], np.arange(parts + 1, dtype=np.uint64))
+                bounds = np.searchsorted(target[order], np.arange(shards + 1, dtype=np.uint64))
                 a, z = c.at[c.origin], c.at[c.origin + c.windows + span - 1]
                 for t in np.flatnonzero(np.diff(bounds)).tolist():
                     k = order[bounds[t] : bounds[t + 1]]
                     text = b"".join([c.text[x:y] for x, y in zip(a[k].tolist(), z[k].tolist(), strict=True)])
-                    blob = pack(np.diff(k, prepend=0).astype(np.int32), brief[k], np.diff(small[k], prepend=0), many[k], c.windows[k].astype(np.int8), text, level=6)
+                    blob = pack(np.diff(k, prepend=0).astype(np.int32), brief[k], np.diff(small[k], prepend=0), many[k], c.windows[k].astype(np.int16), text, level=6)
                     yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["target", "chunk", "blob"])
 
     def search(batches):
         for _, rows in _groups(batches, 0):
-            parts_of = [unpack(r["blob"], np.int32, np.uint32, np.int64, np.bool_, np.int8, None) for r in rows]
+            parts_of = [unpack(r["blob"], np.int32, np.uint32, np.int64, np.bool_, np.int16, None) for r in rows]
             number, doc = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts_of]) for k in (0, 2))
             minimizer, many, windows = (np.concatenate([p[k] for p in parts_of]) for k in (1, 3, 4))
             texts: list[bytes] = []
@@ -339,7 +359,7 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
             at = offsets(count)
             for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if x < y:
-                    blob = pack(number[told[x:y]].astype(np.int32), count[x:y].astype(np.int8), small[at[x] : at[y]], level=3)
+                    blob = pack(number[told[x:y]].astype(np.int32), count[x:y].astype(np.int16), small[at[x] : at[y]], level=3)
                     yield pa.RecordBatch.from_arrays([pa.array([chunk_of[k]], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "reply"])
 
     def apply(batches):
@@ -350,7 +370,7 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
                 yield from finish(rows, c, texts, removed_words(c, replies or [], span))
 
     sent = packed.mapInArrow(send, "target int, chunk long, blob binary")
-    replies = sent.repartitionById(parts, F.col("target")).sortWithinPartitions("target").mapInArrow(search, "chunk long, reply binary")
+    replies = sent.repartitionById(parts, F.col("target") % parts).sortWithinPartitions("target").mapInArrow(search, "chunk long, reply binary")
     # A chunk's replies are bounded by its size.
     return packed.join(replies.groupBy("chunk").agg(F.collect_list("reply").alias("replies")), "chunk", "left").select("blob", "replies").mapInArrow(apply, schema)
 
@@ -359,19 +379,28 @@ def _counts(c: Chunk, removed: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(np.diff(c.first)), pa.array(np.diff(offsets(removed)[c.first]))
 
 
+def _intervals(c: Chunk, removed: np.ndarray) -> pa.Array:
+    out = []
+    for a, b in zip(c.first[:-1].tolist(), c.first[1:].tolist(), strict=True):
+        edges = np.flatnonzero(np.diff(removed[a:b].astype(np.int8), prepend=0, append=0)).tolist()
+        out.append([{"first": x, "last": y} for x, y in zip(edges[::2], edges[1::2], strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+
+
 def remove_repeats(docs: DataFrame, span: int = 13, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): every document without the words that smaller documents' windows cover.
+    """(doc_id, n_words, n_removed, kept, removed): every document without the words that smaller documents' windows cover.
 
     A window is ``span`` words in a row of one document; its words go if the same words in a row also start in a
     document with a smaller id. Windows are judged on the input. Words are unchanged. A null or
     empty text has no words; a document with a null id counts as larger than all others; rows that repeat an
-    id are one document, so none of them is smaller. ``kept`` holds the kept words, joined by one blank.
+    id are one document, so none of them is smaller. An empty table gives no rows; a very long text is handled alone, whole. Other
+    columns are pruned. ``kept`` holds the kept words, joined by one blank; ``removed`` the intervals of removed words (first, last + 1).
     """
 
     def finish(rows: pa.Table, c: Chunk, texts: list[bytes], removed: np.ndarray):
-        yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *_counts(c, removed), pa.array(kept_texts(c, removed), pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *_counts(c, removed), pa.array(kept_texts(c, removed), pa.binary()), _intervals(c, removed)], ["doc_id", "n_words", "n_removed", "kept", "removed"])
 
-    return _answers(texts_of(docs, id_col, text_col), span, seed, "doc_id", "text", finish, "doc_id long, n_words long, n_removed long, kept binary")
+    return _answers(texts_of(docs, id_col, text_col), span, seed, "doc_id", "text", finish, "doc_id long, n_words long, n_removed long, kept binary, removed array<struct<first: int, last: int>>")
 
 
 def repeat_digests(docs: DataFrame, span: int = 13, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,7 +422,11 @@ def without_words(text: bytes, removed: np.ndarray) -> bytes:
 
 
 def drop_repeats(docs: DataFrame, span: int = 50, seed: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, where repeated windows are cut out of the texts; untouched texts stay as they are."""
+    """``docs`` with all columns, where repeated windows are cut out of the texts; untouched texts stay as they are.
+
+    Words and windows are as for ``remove_repeats``. Null texts stay null, empty ones empty; rows that repeat an id are one document and
+    all stay; an empty table gives no rows. Columns of any other name pass through.
+    """
 
     def finish(rows: pa.Table, c: Chunk, texts: list[bytes], removed: np.ndarray):
         gone = offsets(removed)[c.first]

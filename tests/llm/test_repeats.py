@@ -39,7 +39,7 @@ def test_index_finds_all_windows(symbols, depth):
     matched, low, high = index.matching(text, starts, 1)
     for s, m, a, b in zip(starts.tolist(), matched.tolist(), low.tolist(), high.tolist(), strict=True):
         want = [k for k in range(len(symbols) - depth + 1) if symbols[k : k + depth] == symbols[s : s + depth]]
-        assert m == depth and sorted(index.suffixes[a:b].tolist()) == want
+        assert m == depth and sorted(index.documents[a:b].tolist()) == want and index.least(np.array([a]), np.array([b]))[0] == want[0]
     matched, _, _ = index.matching(text, starts, 2)
     for s, m in zip(starts.tolist(), matched.tolist(), strict=True):
         end = s + depth
@@ -80,7 +80,33 @@ def test_against_all_windows(spark, span):
     assert kept == {(i, g, h) for i, _, g, h in want}
 
 
-def test_many_chunks(spark, monkeypatch):
+def digests(rows, span=13):
+    return sorted(((i, len(w), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(w, g, strict=True) if not y)).hexdigest()) for (i, _), (w, g) in zip(rows, slow(rows, span), strict=True)), key=str)
+
+
+def test_many_chunks_shards_and_blocks(spark, monkeypatch):
+    """Chunks of 2 KB, shards of 1 KB (several in a task), blocks of 64 windows."""
+    monkeypatch.setattr(repeats, "CHUNK", 2000)
+    monkeypatch.setattr(repeats, "SHARD", 1000)
+    monkeypatch.setattr(repeats, "BLOCK", 64)
+    monkeypatch.setattr(repeats, "stored_bytes", lambda df: 40_000)
+    rows = corpus(99, 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert repeats.pack_chunks(docs, "doc_id", "text", 2000).count() > 20
+    assert sorted(map(tuple, repeats.repeat_digests(docs).collect()), key=str) == digests(rows)
+
+
+def test_chunks_do_not_depend_on_the_order_of_rows(spark):
+    """Rows of a lost task arrive in another order: the same chunks under the same numbers come out."""
+    rows = corpus(7, 200)
+    made = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3, "doc_id")
+        made.append(sorted((r["chunk"], bytes(r["blob"])) for r in repeats.pack_chunks(docs, "doc_id", "text", 1500).collect()))
+    assert made[0] == made[1] and len(made[0]) > 10
+
+
+def test_segments_are_windows_of_one_minimizer():
     rows = corpus(99, 300)
     ids = np.array([i if i is not None else repeats._NO_DOC for i, _ in rows])
     texts = [(t or "").encode() for _, t in rows]
@@ -90,6 +116,31 @@ def test_many_chunks(spark, monkeypatch):
     assert (whole.windows <= 13 - 4 + 1).all()
 
 
+def test_long_windows(spark):
+    """More words than a byte counts; spans beyond the integers' width are refused."""
+    words = [f"w{k % 977}" for k in range(1500)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words[100:1100])), (3, " ".join(words[:150]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, repeats.repeat_digests(docs, 200).collect())) == digests(rows, 200)
+    with pytest.raises(ValueError, match="words"):
+        repeats.repeat_digests(docs, 40_000)
+
+
+def test_intervals_and_empty_tables(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "a b " + " ".join(words[5:25]) + " c")], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: [], 2: [(2, 22)]}
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0 and repeats.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_index_is_small():
+    rng = np.random.default_rng(0)
+    text = np.append(rng.integers(1, 4000, 200_000), 0)
+    index = fm_index.FMIndex(text, 13, np.arange(len(text)) // 100)
+    assert index.nbytes < 0.65 * 8 * len(text)  # less than a code and a place of 32 bits each for every symbol
+
+
 def test_cut_texts_keep_everything_else():
     text = b" a  b\nc d\te "
     assert repeats.without_words(text, np.array([False, True, True, False, False])) == b" a  d\te "
