@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import chunks, offsets, prepare, spread, texts_of
 from .repeats import _mix, word_hashes, word_spans
@@ -37,9 +38,10 @@ _MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows that the model is fitted on, at most; they are those with the least hash of their id."""
+    """sample: labelled rows that the model is fitted on, at most, and size: bytes of their features; they are those with the least hash of their id."""
 
     sample: int = 6000
+    size: int = 256 << 20
     penalty: float = 1.0
     epochs: int = 20
     smoothing: float = 1.0
@@ -173,9 +175,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
             bounds = np.searchsorted(at, np.arange(len(texts) + 1)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "features"])
 
-    # At most settings.sample rows, known from the limit above.
-    found = texts_of(docs, id_col, text_col).join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(run, "doc_id long, features binary").toPandas()
-    found = found.drop_duplicates(["doc_id"]).sort_values("doc_id") if len(found) else found
+    # At most settings.sample rows, known from the limit above, of at most settings.size bytes; an id comes once, with the lesser of its texts' features.
+    own = texts_of(docs, id_col, text_col).join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(run, "doc_id long, features binary")
+    once = own.groupBy("doc_id").agg(F.min("features").alias("features"))
+    held = F.sum(F.length("features")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = once.withColumn("held", held).where(F.col("held") <= settings.size).select("doc_id", "features").toPandas()
+    found = found.sort_values("doc_id") if len(found) else found
     rows = [np.frombuffer(b, np.int32) for b in found["features"]]
     y = np.array([1.0 if chosen[d] else -1.0 for d in found["doc_id"]])
     ratios, weights = np.zeros(FEATURES), np.zeros(FEATURES)
@@ -195,44 +200,45 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / max(float(np.sqrt(x @ x)), 1e-12)
 
 
+def _scores(texts: list[bytes], weights: np.ndarray, squares: np.ndarray, bias: float, a: float, b: float) -> np.ndarray:
+    at, feature = indicators(texts)
+    total = np.bincount(at, weights=weights[feature], minlength=len(texts))
+    length = np.sqrt(np.bincount(at, weights=squares[feature], minlength=len(texts)))
+    return 1 / (1 + np.exp(-np.clip(a * (total / np.maximum(length, 1e-12) + bias) + b, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every whole text; null texts are empty, equal texts score alike."""
+    """(doc_id, held_out, score, predicted) of every whole text, however long; null texts are empty, equal texts score alike.
+
+    Repeated rows are scored each; a null id is held out; an empty table gives no rows; other columns are pruned.
+    """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.ratios**2))  # FEATURES numbers each
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.ratios**2, model.bias, model.a, model.b))  # FEATURES numbers each
 
     def run(batches):
-        weights, squares = shared.value
         for ids, texts in chunks(batches):
-            at, feature = indicators(texts)
-            total = np.bincount(at, weights=weights[feature], minlength=len(texts))
-            length = np.sqrt(np.bincount(at, weights=squares[feature], minlength=len(texts)))
-            margin = total / np.maximum(length, 1e-12) + model.bias
-            p = 1 / (1 + np.exp(-np.clip(model.a * margin + model.b, -30, 30)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_scores(texts, *shared.value))], ["doc_id", "score"])
 
     scored = spread(texts_of(docs, id_col, text_col)).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text the model accepts, with all their columns; texts stay where they are."""
+    """The rows of ``docs`` whose text the model accepts, with all their columns, of whatever name; texts stay where they are.
+
+    Null texts count as empty; of repeated rows all stay or all go; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.ratios**2))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.ratios**2, model.bias, model.a, model.b))
 
     def run(batches):
-        weights, squares = shared.value
         for b in batches:
             keep = []
             column = b.column(b.schema.get_field_index(text_col))
             if not b.num_rows:
                 continue
             one = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), column.fill_null("").cast(pa.binary())], ["doc_id", "text"])
-            for _, texts in chunks(iter([one])):
-                at, feature = indicators(texts)
-                total = np.bincount(at, weights=weights[feature], minlength=len(texts))
-                length = np.sqrt(np.bincount(at, weights=squares[feature], minlength=len(texts)))
-                p = 1 / (1 + np.exp(-np.clip(model.a * (total / np.maximum(length, 1e-12) + model.bias) + model.b, -30, 30)))
-                keep.append(p >= threshold)
+            keep += [_scores(texts, *shared.value) >= threshold for _, texts in chunks(iter([one]))]
             yield b.filter(pa.array(np.concatenate(keep)))
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from .common import chunks, offsets, prepare, ragged, spread, texts_of
 from .graph import components
 
 BITS, RADIUS = 23, 3
+SMALL = 7  # bits of a block of the Hamming code
 _GENERATOR = 0b110001110101  # fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 # byte -> a machine word with bit k of the byte in byte k
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8").ravel()
@@ -36,7 +38,7 @@ class Plan:
 
     shingle: words of a shingle. words: machine words of a fingerprint. distance: bits that linked
     fingerprints differ in at most. tables: for each table, the bits of its blocks of 23 bits; a
-    fingerprint goes to the anchors that changing ``reach`` bits in a table can lead to. similarity:
+    fingerprint goes to the anchors that changing ``reach`` bits in a table can lead to. Blocks of 7 bits give the home alone. similarity:
     if not 0, fingerprints are of sets of shingles and only candidates; links are pairs whose sets have
     this similarity (Jaccard) at least.
     """
@@ -49,17 +51,46 @@ class Plan:
     similarity: float = 0.0
 
 
-def near_plan(shingle: int = 5, words: int = 10, distance: int = 136, tables: int = 56, seed: int = 11) -> Plan:
+#: Pairs that a fingerprint of unlike texts meets, at most, whatever the number of texts.
+PAIRS = 1 << 16
+
+
+def near_plan(texts: int = 0, shingle: int = 5, words: int = 10, distance: int = 136, loss: float = 0.002, seed: int = 11) -> Plan:
     """Links at a shingle similarity of 0.8 or more, among candidates of about that similarity.
 
     Sets of similarity J make vectors with cosine 2J/(1+J), and a bit differs with probability
     arccos(cosine)/pi: 0.151 at J = 0.8, so 97 of 640 bits on average, with a deviation of 9; the distance
-    leaves four deviations. Each table has 23 bits of its own choice and one home for each fingerprint. A
-    pair at J = 0.8 shares a home in 12 of 100 tables, so in at least one of all in 998 cases of 1000.
-    Replication over one bit would find it in 40 of 100 tables, but takes 5.3 rows a table: more rows for the same.
+    leaves four deviations. Each table has bits of its own choice and one home for each fingerprint: a block of 23 bits
+    and, as ``texts`` grow, blocks of 7 bits (the Hamming code, whose 16 anchors lie within one bit of all words), so that unlike
+    fingerprints meet in at most ``PAIRS`` pairs each. There are as many tables as a pair at J = 0.8 needs to share a home
+    in one at least but for a share of ``loss``: 56 of one block, about twice as many with each small one.
+    Replication over one bit takes fewer tables, but more rows for the same.
     """
+    share, blocks = 1 - loss ** (1 / 56), 0
+    tables = 56
+    while tables * texts > PAIRS << 12 + 4 * blocks:
+        blocks += 1
+        tables = math.ceil(math.log(loss) / math.log1p(-share * _shared_home(0.151) ** blocks))
     rng = np.random.default_rng(seed)
-    return Plan(shingle, words, distance, tuple((tuple(sorted(rng.choice(64 * words, BITS, replace=False).tolist())),) for _ in range(tables)), 0, 0.8)
+    drawn = [np.split(rng.choice(64 * words, BITS + SMALL * blocks, replace=False), BITS + SMALL * np.arange(blocks)) for _ in range(tables)]
+    return Plan(shingle, words, distance, tuple(tuple(tuple(sorted(b.tolist())) for b in table) for table in drawn), 0, 0.8)
+
+
+@functools.cache
+def _hamming() -> np.ndarray:
+    """The home (4 bits) of each word of 7 bits: the code word within one bit of it."""
+    word = np.arange(1 << SMALL)
+    syndrome = np.bitwise_xor.reduce([(word >> b & 1) * (b + 1) for b in range(SMALL)])
+    code = np.where(syndrome > 0, word ^ (1 << np.maximum(syndrome - 1, 0)), word)
+    return (code >> 2 & 1) | (code >> 4 & 1) << 1 | (code >> 5 & 1) << 2 | (code >> 6 & 1) << 3
+
+
+def _shared_home(rate: float) -> float:
+    """How often two words of 7 bits share a home, if each bit differs at this rate."""
+    home, word = _hamming(), np.arange(1 << SMALL)
+    change = np.bitwise_count(word).astype(np.int64)
+    weight = rate**change * (1 - rate) ** (SMALL - change)
+    return float(sum(w * (home == home[word ^ e]).mean() for e, w in zip(word, weight, strict=True)))
 
 
 @functools.cache
@@ -158,6 +189,10 @@ def anchors(prints: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.
     for number, table in enumerate(plan.tables):
         row, key, left, at_home = np.arange(len(prints)), np.full(len(prints), number, np.int64), np.full(len(prints), plan.reach), np.ones(len(prints), bool)
         for block in table:
+            if len(block) == SMALL:
+                own_home = _hamming()[bits[:, list(block)].astype(np.int64) @ (1 << np.arange(SMALL))]
+                key = key << 4 | own_home[row]
+                continue
             word = bits[:, list(block)].astype(np.int64) @ (1 << np.arange(BITS))
             home, s = nearest_anchor(word)
             sizes = (starts[s + 1] - starts[s])[row]
@@ -336,9 +371,8 @@ def exact_components(docs: DataFrame, found: DataFrame, plan: Plan, part: int =
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One row for each group of more than a part.
     large = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("component", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    sized = found.join(F.broadcast(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sized = found.join(large, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     texts = texts_of(docs, id_col, text_col).join(sized.withColumnRenamed("node", "doc_id"), "doc_id")
     fields = texts.select("component", "parts", "doc_id", "text")
 
@@ -371,21 +405,22 @@ def exact_components(docs: DataFrame, found: DataFrame, plan: Plan, part: int =
     joined = first.select(F.col("a").alias("node"), F.col("b").alias("to"))
     apart = sets.where("parts > 1 and node <> component").join(joined, "node", "left").where("to is null or to <> component").drop("to")
     blocks = apart.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("blocks"))
-    block = F.broadcast(blocks)
-    asking = apart.join(block, "component").select("component", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), every.alias("part"), "node", "shingles")
-    asked = sets.where("parts > 1").join(block, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "node", "shingles")
+    asking = apart.join(blocks, "component").select("component", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), every.alias("part"), "node", "shingles")
+    asked = sets.where("parts > 1").join(blocks, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "node", "shingles")
     return components(first.union(compared(asking.union(asked))))
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, plan: Plan | None = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, print, component_id): the smallest id reachable over links, for every row.
 
     Texts without words (null, empty, blank) have the fingerprint zero and are linked like any other.
     Repeated rows and equal texts are one class from the start; their links are not expanded. An empty
-    table gives no rows. Rows whose id is null are compared, but get no id themselves.
+    table gives no rows. Rows whose id is null are compared, but get no id themselves. Very long texts are taken whole;
+    other columns, however named, are pruned. Without a plan, it is ``near_plan`` of as many texts as there are.
     """
     prepare(docs.sparkSession)
-    prints = fingerprint_column(docs, plan, id_col, text_col).checkpoint()
+    prints = fingerprint_column(docs, plan or near_plan(), id_col, text_col).checkpoint()
+    plan = plan or near_plan(prints.count())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("rep"))
 
@@ -420,7 +455,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
             yield found(whole)
 
     # A class is a few bytes and becomes dozens of rows: deal classes out before that.
-    dealt = classes.where("rep is not null").select("print", "rep").repartition(parts).mapInArrow(replicate, "anchor long, home boolean, rep long, print binary")
+    dealt = classes.where("rep is not null").select(F.substring("print", 1, 8 * plan.words).alias("print"), "rep").repartition(parts).mapInArrow(replicate, "anchor long, home boolean, rep long, print binary")
     edges = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
     found = components(edges)
     if plan.similarity:
@@ -429,10 +464,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     return prints.join(known, "print").select("doc_id", "print", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its group, with all their columns.
 
-    Rows without an id stay. Rows that repeat an id stay or go together; they stay if one of them is smallest.
+    Rows without an id stay. Rows that repeat an id stay or go together; they stay if one of them is smallest. Texts without words
+    (null, empty, blank) are one group. An empty table gives no rows; columns of any other name pass through.
     """
     found = near_duplicates(docs, plan, id_col, text_col).where("doc_id is not null")
     going = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0")

@@ -92,6 +92,28 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (prints[i], want[i]) for i in ids}
 
 
+def test_anchors_grow_with_the_corpus():
+    """Pairs of unlike fingerprints stay bounded, and pairs of bits that differ at 0.151 share a home."""
+    home = simhash._hamming()
+    word = np.arange(128)
+    code = {int(h): [w for w in word if home[w] == h] for h in range(16)}
+    assert all(len(ws) == 8 and min(max(int(w ^ c).bit_count() for w in ws) for c in ws) == 1 for ws in code.values())
+    rng = np.random.default_rng(4)
+    for texts in (10**3, 10**6, 10**8, 10**10):
+        plan = simhash.near_plan(texts)
+        anchors = 4096 * 16 ** (len(plan.tables[0]) - 1)
+        assert len(plan.tables) * texts / anchors <= simhash.PAIRS
+        if texts == 10**8:
+            x = rng.integers(0, 1 << 63, (400, 10), dtype=np.uint64)
+            flips = np.packbits(rng.random((400, 640)) < 0.151, axis=1, bitorder="little").view("<u8")
+            both = [simhash.anchors(p, plan)[:2] for p in (x, x ^ flips)]
+            (r, a), (q, b) = both
+            near = set(zip(r.tolist(), a.tolist(), strict=True)) & set(zip(q.tolist(), b.tolist(), strict=True))
+            assert len({k for k, _ in near}) >= 392
+            far = simhash.anchors(rng.integers(0, 1 << 63, (400, 10), dtype=np.uint64), plan)[1]
+            assert len(set(far.tolist())) > 0.9 * len(far)
+
+
 def test_near_plan_finds_similar_texts(spark):
     rng = np.random.default_rng(2)
     rows = []

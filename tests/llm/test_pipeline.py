@@ -66,6 +66,26 @@ def test_run_equals_its_stages(spark, tmp_path):
     assert strip(got) == strip(now)
 
 
+def test_nulls_repeats_and_empty_tables(spark, tmp_path):
+    planted(tmp_path)
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    odd = spark.createDataFrame([(400, None), (401, ""), (402, " "), (None, "no id " * 30), (3, "again " * 5), (403, "lone")], "doc_id long, text string")
+    more = odd.selectExpr("doc_id", "text", "cast(null as string) as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
+    for n, rows in (("odd", docs.unionByName(more)), ("empty", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{n}/labels.parquet")
+    assert cp.run(spark, f"{tmp_path}/empty").count() == 0
+    now = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in cp.STAGES[1:]:
+        stage(spark, now, f"{tmp_path}/odd").write.parquet(f"{tmp_path}/odd/{name}")
+        now = spark.read.parquet(f"{tmp_path}/odd/{name}")
+        if name == "near_dedup":  # null, empty and blank texts are one group
+            ids = {r["doc_id"] for r in now.collect()}
+            assert 400 in ids and not {401, 402} & ids and {None, 3, 403} <= ids
+    assert {400, 403, None} <= {r["doc_id"] for r in now.collect()}
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test data here")
 def test_sql_of_the_url_filter(spark):
     import duckdb
