@@ -167,7 +167,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Every whole text as 8-bit samples in an Ogg file, read back: sizes, digests and features.
 
     A null text is empty; the payload is padded with zero bytes to a positive multiple of 64. Equal texts
-    give equal values. A file that doesn't read back whole raises an error instead of giving a row.
+    give equal values, repeated rows repeat theirs; a very long text is one file; an empty table gives no rows; other columns are pruned. A file that doesn't read back whole raises an error instead of giving a row.
     """
     prepare(docs.sparkSession)
 

@@ -173,7 +173,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     """(doc_id, n_bytes, n_tokens, over_limit, chars_within) of every whole text.
 
     ``chars_within``: characters of its longest prefix of at most ``limit`` tokens. A null or empty text has
-    no tokens. Equal texts give equal values; bytes that are no UTF-8 count as U+FFFD.
+    no tokens. Equal texts give equal values; bytes that are no UTF-8 count as U+FFFD. A very long text is counted whole; repeated rows
+    repeat theirs; an empty table gives no rows; other columns are pruned.
     """
     prepare(docs.sparkSession)
 

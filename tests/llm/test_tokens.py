@@ -67,6 +67,18 @@ def test_columns(spark):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_slices_are_decoded_by_their_offsets(spark):
+    text = "It's Ünïcödé 漢字 😀, twice: Ünïcödé 漢字 😀\n" * 3
+    data = text.encode()
+    encoded = bpe_columns.encode_column(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), queries.MULTI_RANKS)
+    places = [(a, z) for a in (-1, 0, 1, 7, 30, len(data) - 1, len(data)) for z in (0, 1, 8, 31, 90, len(data), len(data) + 5)]
+    asked = encoded.join(spark.createDataFrame([(d, a, z) for d in (1, 2) for a, z in places], "doc_id long, first int, last int"), "doc_id")
+    got = asked.select("doc_id", "first", "last").collect()
+    found = bpe_columns.decode_between(asked, queries.MULTI_RANKS).collect()
+    want = sorted((r["doc_id"], (data if r["doc_id"] == 1 else b"")[max(0, r["first"]) : r["last"]]) for r in got)
+    assert sorted((r["doc_id"], bytes(r["text"])) for r in found) == want and len(want) == 2 * len(places)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return token_counts.counter(queries.PIECE_MODEL), sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
