@@ -53,6 +53,8 @@ class Plan:
 
 #: Pairs that a fingerprint of unlike texts meets, at most, whatever the number of texts.
 PAIRS = 1 << 16
+#: Fingerprints of one anchor that a task holds.
+LARGE = 1 << 18
 
 
 def near_plan(texts: int = 0, shingle: int = 5, words: int = 10, distance: int = 136, loss: float = 0.002, seed: int = 11) -> Plan:
@@ -410,13 +412,48 @@ def exact_components(docs: DataFrame, found: DataFrame, plan: Plan, part: int =
     return components(first.union(compared(asking.union(asked))))
 
 
-def near_duplicates(docs: DataFrame, plan: Plan | None = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def crowded_links(rows: DataFrame, plan: Plan, large: int) -> DataFrame:
+    """Edges (a, b) that connect all rows (anchor, rep, print) of an anchor within the plan's distance, for anchors too large for a task.
+
+    Rows are dealt into parts of about ``large``, each with the anchor's least id. Rows connected with that one
+    need no comparison among each other; those that aren't meet all parts, again so many at a time. No link is lost; of an anchor
+    with g rows, u of them not connected with its least id, about g * u / ``large`` rows are dealt again.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / large).cast("int").alias("parts"), F.min(F.struct("rep", "print")).alias("hub"))
+    dealt = rows.join(sizes.select("anchor", "parts", F.col("hub.rep").alias("least")), "anchor").withColumn("part", F.pmod(F.xxhash64("rep", "print"), F.col("parts")).cast("int"))
+
+    def compare(batches):
+        for t in _groups(batches, ["anchor", "block", "part"]):
+            rep = t["rep"].to_numpy()
+            found = list(links(_matrix(t["print"].combine_chunks(), plan.words), plan.distance))
+            a, b = stars(*(rep[np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])] for k in range(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t["anchor"][0].as_py(), np.int64)), pa.array(a), pa.array(b)], ["anchor", "a", "b"])
+
+    def compared(some: DataFrame) -> DataFrame:
+        return some.repartition(parts, "anchor", "block", "part").sortWithinPartitions("anchor", "block", "part", "rep").mapInArrow(compare, "anchor long, a long, b long")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    hubs = sizes.select("anchor", F.lit(0).alias("block"), every, "hub.rep", "hub.print")
+    first = compared(dealt.select("anchor", F.lit(0).alias("block"), "part", "rep", "print").union(hubs)).checkpoint()
+    joined = first.select("anchor", F.col("a").alias("rep"), F.col("b").alias("to")).distinct()
+    # An id's rows lie in several parts if it is repeated: one that is connected with the least id speaks for all of them.
+    done = joined.join(sizes.select("anchor", F.col("hub.rep").alias("to")), ["anchor", "to"], "left_semi").select("anchor", "rep").distinct()
+    apart = dealt.where("rep <> least").join(done, ["anchor", "rep"], "left_anti")
+    blocks = apart.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / large).cast("int").alias("blocks"))
+    asking = apart.join(blocks, "anchor").select("anchor", F.pmod(F.xxhash64("print", "rep"), F.col("blocks")).cast("int").alias("block"), every, "rep", "print")
+    asked = dealt.join(blocks, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "rep", "print")
+    return first.select("a", "b").union(compared(asking.union(asked)).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, plan: Plan | None = Plan(), id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
     """(doc_id, print, component_id): the smallest id reachable over links, for every row.
 
     Texts without words (null, empty, blank) have the fingerprint zero and are linked like any other.
     Repeated rows and equal texts are one class from the start; their links are not expanded. An empty
     table gives no rows. Rows whose id is null are compared, but get no id themselves. Very long texts are taken whole;
     other columns, however named, are pruned. Without a plan, it is ``near_plan`` of as many texts as there are.
+    A task holds about ``large`` fingerprints of an anchor; those of a larger one are passed on, unheld, and compared in parts (``crowded_links``).
     """
     prepare(docs.sparkSession)
     prints = fingerprint_column(docs, plan or near_plan(), id_col, text_col).checkpoint()
@@ -433,30 +470,50 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = Plan(), id_col: str = "
 
     def compare(batches):
         held: list[pa.Table] = []
+        size, streamed = 0, None
 
         def found(t: pa.Table) -> pa.RecordBatch:
             rep = t["rep"].to_numpy()
             a, b = _compare(t["anchor"].to_numpy(), t["home"].to_numpy(), _matrix(t["print"].combine_chunks(), plan.words), plan.distance)
-            return pa.RecordBatch.from_arrays([*map(pa.array, stars(rep[a], rep[b]))], ["a", "b"])
+            a, b = stars(rep[a], rep[b])
+            none = [pa.nulls(len(a), t.schema.field(k).type) for k in ("anchor", "print")]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], ["a", "b", "anchor", "print"])
+
+        def passed_on(t: pa.Table) -> list[pa.RecordBatch]:
+            return pa.table({"a": t["rep"], "b": pa.nulls(t.num_rows, pa.int64()), "anchor": t["anchor"], "print": t["print"]}).to_batches()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
+            if streamed is not None:
+                more = int(np.searchsorted(t["anchor"].to_numpy(), streamed, "right"))
+                yield from passed_on(t.slice(0, more))
+                t = t.slice(more)
+                if not t.num_rows:
+                    continue
+                streamed = None
             anchor = t["anchor"].to_numpy()
             cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
             if cut or (held and held[-1]["anchor"][-1].as_py() != anchor[0]):
                 whole = pa.concat_tables([*held, t.slice(0, cut)])
-                held = []
+                held, size = [], 0
                 if whole.num_rows > 1:
                     yield found(whole)
             held.append(t.slice(cut))
+            size += t.num_rows - cut
+            if size > large:
+                yield from passed_on(pa.concat_tables(held))
+                held, size, streamed = [], 0, anchor[-1]
         if held and (whole := pa.concat_tables(held)).num_rows > 1:
             yield found(whole)
 
     # A class is a few bytes and becomes dozens of rows: deal classes out before that.
     dealt = classes.where("rep is not null").select(F.substring("print", 1, 8 * plan.words).alias("print"), "rep").repartition(parts).mapInArrow(replicate, "anchor long, home boolean, rep long, print binary")
-    edges = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    met = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, anchor long, print binary").checkpoint()
+    edges, crowded = met.where("anchor is null").select("a", "b"), met.where("anchor is not null").select("anchor", F.col("a").alias("rep"), "print")
+    if not crowded.isEmpty():
+        edges = edges.union(crowded_links(crowded, plan, large))
     found = components(edges)
     if plan.similarity:
         found = exact_components(docs, found, plan, id_col=id_col, text_col=text_col)

@@ -72,7 +72,9 @@ def test_large_groups_are_linked_like_pairs():
     assert slow_components(range(400), edges) == slow_components(range(400), pairs)
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize(("large", "batch"), [(simhash.LARGE, "10000"), (3, "2")])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, large, batch):
+    """Also where an anchor has more rows than a task may hold, and they come in several batches."""
     rng = np.random.default_rng(7)
     vocabulary = [f"w{k}" for k in range(300)]
     rows, n = [], 0
@@ -84,7 +86,16 @@ def test_near_duplicates_against_all_pairs(spark):
                 own[int(rng.integers(len(own)))] = str(rng.choice(vocabulary))
             rows.append((n := n + 3, " ".join(own).title()))
     rows += [(1, None), (2, " \n"), (4, "one"), (5, "ONE"), (7, "one two")]
-    got = {r["doc_id"]: (int(r["print"].hex(), 16), r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    crowded, split = simhash.crowded_links, []
+    monkeypatch.setattr(simhash, "crowded_links", lambda *a: split.append(a) or crowded(*a))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), large=large).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(split) == (large == 3)
+    got = {r["doc_id"]: (int(r["print"].hex(), 16), r["component_id"]) for r in found}
     prints = {i: slow_print(t) for i, t in rows}
     ids = sorted(prints)
     edges = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if (prints[a] ^ prints[b]).bit_count() <= 2]
@@ -92,6 +103,20 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (prints[i], want[i]) for i in ids}
 
 
+def test_crowded_anchors_are_linked_like_pairs(spark):
+    """Anchors dealt into parts lose no link: near the least id, far from it, and of ids with several fingerprints."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 6).tolist()
+    rows = []
+    for k in range(300):
+        value = base[k % 6] ^ sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 5), replace=False))
+        rows.append((int(rng.integers(2)), int(rng.integers(200)), value))
+    frame = spark.createDataFrame([(a, r, v.to_bytes(8, "big")) for a, r, v in rows], "anchor long, rep long, print binary").distinct()
+    got = [(r.a, r.b) for r in simhash.crowded_links(frame, simhash.Plan(), 20).collect()]
+    pairs = [(r, q) for k, (a, r, v) in enumerate(rows) for b, q, w in rows[:k] if a == b and (v ^ w).bit_count() <= 2]
+    assert slow_components(range(200), got) == slow_components(range(200), pairs)
+
+
 def test_anchors_grow_with_the_corpus():
     """Pairs of unlike fingerprints stay bounded, and pairs of bits that differ at 0.151 share a home."""
     home = simhash._hamming()
