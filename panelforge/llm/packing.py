@@ -19,7 +19,7 @@ from pyspark.sql import Window
 
 from . import bpe
 from .bpe_columns import decoded
-from .common import chunks, prepare, spread, texts_of
+from .common import chunks, prepare, spread, texts_of, tidy
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str =
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return spread(texts_of(docs, id_col, text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return spread(texts_of(docs, id_col, text_col)).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 _KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, prepare, ragged, spread, stored_bytes, texts_of
+from .common import offsets, prepare, ragged, spread, stored_bytes, texts_of, tidy, trim
 from .fm_index import FMIndex
 from .slices import factorize
 
@@ -222,7 +222,9 @@ def shard_windows(minimizer: np.ndarray, doc: np.ndarray, many: np.ndarray, wind
         return kept, np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = b"".join([texts[k] for k in kept.tolist()])
     starts, lengths = word_spans(text)
-    symbols, _ = factorize(text, starts, lengths)
+    symbols = factorize(text, starts, lengths)[0]
+    del text, starts, lengths
+    trim()
     size = windows[kept] + span - 1
     head = offsets(size)[:-1]
     code, first = distinct_runs(symbols.astype(np.uint64), head, size)
@@ -237,6 +239,7 @@ def shard_windows(minimizer: np.ndarray, doc: np.ndarray, many: np.ndarray, wind
     indexed[inside] = streamed
     index = FMIndex(indexed, span, np.repeat(least, own + 1))
     del indexed, inside, symbols
+    trim()
     # The segments are streamed through it.
     n = windows[kept][first]
     at, done = offsets(own), offsets(n)
@@ -369,10 +372,10 @@ def _answers(docs: DataFrame, span: int, seed: int, id_col: str, text_col: str,
                 c = cut(ids, texts, span, seed)
                 yield from finish(rows, c, texts, removed_words(c, replies or [], span))
 
-    sent = packed.mapInArrow(send, "target int, chunk long, blob binary")
-    replies = sent.repartitionById(parts, F.col("target") % parts).sortWithinPartitions("target").mapInArrow(search, "chunk long, reply binary")
+    sent = packed.mapInArrow(tidy(send), "target int, chunk long, blob binary")
+    replies = sent.repartitionById(parts, F.col("target") % parts).sortWithinPartitions("target").mapInArrow(tidy(search), "chunk long, reply binary")
     # A chunk's replies are bounded by its size.
-    return packed.join(replies.groupBy("chunk").agg(F.collect_list("reply").alias("replies")), "chunk", "left").select("blob", "replies").mapInArrow(apply, schema)
+    return packed.join(replies.groupBy("chunk").agg(F.collect_list("reply").alias("replies")), "chunk", "left").select("blob", "replies").mapInArrow(tidy(apply), schema)
 
 
 def _counts(c: Chunk, removed: np.ndarray) -> tuple[pa.Array, pa.Array]:

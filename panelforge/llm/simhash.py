@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, offsets, prepare, ragged, spread, texts_of
+from .common import chunks, offsets, prepare, ragged, spread, texts_of, tidy
 from .graph import components
 
 BITS, RADIUS = 23, 3
@@ -300,7 +300,7 @@ def fingerprint_column(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_
                 prints = [x + xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for x, a, b in zip(prints, at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "print"])
 
-    return spread(texts_of(docs, id_col, text_col)).mapInArrow(run, "doc_id long, print binary")
+    return spread(texts_of(docs, id_col, text_col)).mapInArrow(tidy(run), "doc_id long, print binary")
 
 
 def _matrix(column: pa.Array, words: int) -> np.ndarray:
@@ -509,8 +509,8 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = Plan(), id_col: str = "
             yield found(whole)
 
     # A class is a few bytes and becomes dozens of rows: deal classes out before that.
-    dealt = classes.where("rep is not null").select(F.substring("print", 1, 8 * plan.words).alias("print"), "rep").repartition(parts).mapInArrow(replicate, "anchor long, home boolean, rep long, print binary")
-    met = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, anchor long, print binary").checkpoint()
+    dealt = classes.where("rep is not null").select(F.substring("print", 1, 8 * plan.words).alias("print"), "rep").repartition(parts).mapInArrow(tidy(replicate), "anchor long, home boolean, rep long, print binary")
+    met = dealt.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(compare), "a long, b long, anchor long, print binary").checkpoint()
     edges, crowded = met.where("anchor is null").select("a", "b"), met.where("anchor is not null").select("anchor", F.col("a").alias("rep"), "print")
     if not crowded.isEmpty():
         edges = edges.union(crowded_links(crowded, plan, large))
